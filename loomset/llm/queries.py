@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import bpe
+from loomset.llm import bpe, leaks
 from loomset.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p8_ids": p8_ids}
+    return {f.__name__: f for f in (p8_ids, p9_found, p9_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
