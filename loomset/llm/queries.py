@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import bpe, leaks
+from loomset.llm import bpe, leaks, spans
 from loomset.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,16 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, sf_dir, "documents"))
+
+
+def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.coverage(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p8_ids, p9_found, p9_spans)}
+    return {f.__name__: f for f in (p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
