@@ -5,13 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomset.llm import bpe, leaks, spans
-from loomset.runtime import table
+from loomset.llm import bpe, leaks, neardup, spans
+from loomset.runtime import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News by text, and semantic sets by all their texts together."""
+    news = latest(table(spark, sf_dir, "news_row").select("id", "fetched_at", "text"), "id", "fetched_at", "text")
+    sets = latest(table(spark, sf_dir, "semantic_set_view").select("original_id", "built_at", "texts"), "original_id", "built_at", "texts")
+    return news.select(F.lit("news").alias("kind"), F.col("id").alias("key"), "text").unionByName(
+        sets.select(F.lit("set").alias("kind"), F.col("original_id").alias("key"), F.array_join("texts", "\n").alias("text"))
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_texts(spark, sf_dir), 0.7)
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_groups(_texts(spark, sf_dir), 0.8)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -33,7 +51,7 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:

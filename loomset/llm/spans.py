@@ -355,5 +355,5 @@ def coverage(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", n.alias("n_chars"))
     got = docs.join(shared, "doc_id", "left").join(whole, "doc_id", "left")
-    total = F.when("copied", F.col("n_chars")).otherwise(F.coalesce("n_shared", F.lit(0)))
+    total = F.when(F.col("copied"), F.col("n_chars")).otherwise(F.coalesce("n_shared", F.lit(0)))
     return got.select("doc_id", "n_chars", total.cast("bigint").alias("n_shared"), F.when(F.col("n_chars") > 0, F.round(total / F.col("n_chars"), 6)).otherwise(0.0).alias("share"))
