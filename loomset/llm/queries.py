@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import bpe, leaks, neardup, spans
+from loomset.llm import bpe, formatting, leaks, neardup, overlap, spans
 from loomset.runtime import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,44 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(_texts(spark, sf_dir), 0.8)
 
 
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    news = table(spark, sf_dir, "news_row").select(F.lit("news").alias("kind"), F.col("id").alias("key"), F.lit(0).cast("bigint").alias("num"), F.col("fetched_at").alias("at"), "text")
+    rejected = table(spark, sf_dir, "rejected").select(F.lit("rejected").alias("kind"), F.col("source_index").cast("string").alias("key"), F.col("source_index").cast("bigint").alias("num"), F.col("logged_at").alias("at"), F.col("claim").alias("text"))
+    return news.unionByName(rejected)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatting.copies(_written(spark, sf_dir))
+
+
+def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatting.collapsed(_written(spark, sf_dir))
+
+
+def _split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, side, source, split, text``: claims and evidence by the split their records are in."""
+    latent = latest(table(spark, sf_dir, "latent_set").select("set_id", "built_at", "usage", "texts", "source_dataset"), "set_id", "built_at", "usage", "texts", "source_dataset")
+    views = latent.select("set_id", "usage", "source_dataset", F.explode("texts").alias("v")).filter(F.coalesce("v.view_type", F.lit("")) != "evidence_reference")
+    rejected = latest(table(spark, sf_dir, "rejected").select("source_index", "logged_at", "split", "claim"), "source_index", "logged_at", "split", "claim")
+    name = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return views.select(F.col("set_id").alias("key"), overlap.side(F.col("usage")).alias("side"), F.coalesce("source_dataset", F.lit("")).alias("source"), name(F.col("usage")).alias("split"), F.col("v.text").alias("text")).unionByName(
+        rejected.select(F.concat(F.lit("rejected:"), F.col("source_index").cast("string")).alias("key"), overlap.side(F.col("split")).alias("side"), F.lit("rejected").alias("source"), name(F.col("split")).alias("split"), F.col("claim").alias("text"))
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlap.cross_split(_split_texts(spark, sf_dir).select("key", "side", "text"), 0.7)
+    return found.select(F.least("train_key", "eval_key").alias("key_a"), F.greatest("train_key", "eval_key").alias("key_b")).distinct()
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation records by split and source, and how many of them are in training too."""
+    texts = _split_texts(spark, sf_dir)
+    found = overlap.cross_split(texts.select("key", "side", "text"), 0.7).select(F.col("eval_key").alias("key")).distinct().withColumn("hit", F.lit(1))
+    records = texts.filter("side = 'e'").select("key", "split", "source").distinct()
+    return records.join(found, "key", "left").groupBy("split", "source").agg(F.count("*").alias("n_records"), F.count("hit").alias("n_overlapping"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -51,7 +89,7 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_collapsed, p6_found, p6_report, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
