@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import bpe, formatting, leaks, neardup, overlap, spans
+from loomset.llm import bpe, formatting, leaks, neardup, neighbours, overlap, spans
 from loomset.runtime import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,14 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.join(found, "key", "left").groupBy("split", "source").agg(F.count("*").alias("n_records"), F.count("hit").alias("n_overlapping"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, sf_dir, "activation_bank"))
+
+
+def p7_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_lists(table(spark, sf_dir, "activation_bank"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -89,7 +97,7 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_collapsed, p6_found, p6_report, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_collapsed, p6_found, p6_report, p7_found, p7_lists, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
