@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import bpe, formatting, leaks, neardup, neighbours, overlap, spans
+from loomset.llm import bpe, formatting, leaks, neardup, neighbours, overlap, spans, splits
 from loomset.runtime import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,22 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(_texts(spark, sf_dir), 0.8)
 
 
+def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latent = latest(table(spark, sf_dir, "latent_set").select("set_id", "built_at", "source_ids"), "set_id", "built_at", "source_ids")
+    sets = table(spark, sf_dir, "semantic_set_view").select("original_id").distinct()
+    return latent.select(F.lit("latent").alias("kind"), F.col("set_id").alias("rec_key"), F.col("source_ids").alias("sources")).unionByName(
+        sets.select(F.lit("set").alias("kind"), F.col("original_id").alias("rec_key"), F.array("original_id").alias("sources"))
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.source_groups(_sourced(spark, sf_dir)).filter("n > 1").select("rec_key", "group_key")
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign_splits(_sourced(spark, sf_dir))
+
+
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     news = table(spark, sf_dir, "news_row").select(F.lit("news").alias("kind"), F.col("id").alias("key"), F.lit(0).cast("bigint").alias("num"), F.col("fetched_at").alias("at"), "text")
     rejected = table(spark, sf_dir, "rejected").select(F.lit("rejected").alias("kind"), F.col("source_index").cast("string").alias("key"), F.col("source_index").cast("bigint").alias("num"), F.col("logged_at").alias("at"), F.col("claim").alias("text"))
@@ -97,7 +113,7 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_collapsed, p6_found, p6_report, p7_found, p7_lists, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_splits, p5_found, p5_collapsed, p6_found, p6_report, p7_found, p7_lists, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
