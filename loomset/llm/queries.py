@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import bpe, formatting, leaks, neardup, neighbours, overlap, spans, splits
-from loomset.runtime import latest, table
+from loomset.llm import bpe, formatting, leaks, neardup, neighbours, overlap, pairs, spans, splits, truncation
+from loomset.runtime import latest, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,55 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(_texts(spark, sf_dir), 0.8)
 
 
+def _set_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last delivery of every semantic set."""
+    return latest(table(spark, sf_dir, "semantic_set_view"), "original_id", "built_at", "texts", "source", "rewrite_meta").filter("original_id is not null")
+
+
+def _answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``kind, rec_key, view_idx, prompt, answer``: originals with their rewrites, claims with the responses given."""
+    sets = _set_texts(spark, sf_dir).select("original_id", F.col("texts")[0].alias("prompt"), F.posexplode("texts").alias("view_idx", "answer")).filter("view_idx > 0")
+    rejected = latest(table(spark, sf_dir, "rejected").select("source_index", "logged_at", "claim", "reasons"), "source_index", "logged_at", "claim", "reasons").filter("source_index is not null")
+    given = F.filter("reasons", lambda r: F.startswith(r, F.lit("response=")))
+    answered = rejected.withColumn("given", given).filter(F.size("given") > 0)
+    return sets.select(F.lit("set").alias("kind"), F.col("original_id").alias("rec_key"), "view_idx", "prompt", "answer").unionByName(
+        answered.select(F.lit("rejected").alias("kind"), F.col("source_index").cast("string").alias("rec_key"), F.lit(0).alias("view_idx"), F.col("claim").alias("prompt"), F.substring(F.col("given")[0], 10, 2147483647).alias("answer"))
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(_answer_pairs(spark, sf_dir), "pairs")
+    return pairs.defects(found, truncation.fit(found.select(F.col("answer").alias("text"))))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_found(spark, sf_dir).groupBy("kind", "defect").agg(F.count("*").alias("n_pairs"))
+
+
+def _limited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``kind, rec_key, view_idx, source, text``: texts of semantic sets, by their model or the set's source, and
+    steered outputs, by their model."""
+    views = _set_texts(spark, sf_dir).select("original_id", "source", "rewrite_meta", F.posexplode("texts").alias("view_idx", "text"))
+    model = F.get(F.col("rewrite_meta"), F.col("view_idx") - 1)["model_name"]
+    probes = latest(table(spark, sf_dir, "steering_probe").select("probe_id", "generated_at", "target_model_id", "steered"), "probe_id", "generated_at", "target_model_id", "steered").filter("probe_id is not null")
+    return views.select(F.lit("set").alias("kind"), F.col("original_id").alias("rec_key"), "view_idx", F.when(F.col("view_idx") == 0, F.col("source")).otherwise(model).alias("source"), "text").unionByName(
+        probes.select(F.lit("probe").alias("kind"), F.col("probe_id").cast("string").alias("rec_key"), F.lit(0).alias("view_idx"), F.col("target_model_id").alias("source"), F.col("steered").alias("text"))
+    )
+
+
+def _cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = materialize(_limited_texts(spark, sf_dir), "texts")
+    return truncation.flag(texts, truncation.fit(texts), unless=pairs.unanswered)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_texts(spark, sf_dir).filter("cut").select("kind", "rec_key", "view_idx")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.share(_cut_texts(spark, sf_dir), F.col("source"))
+
+
 def _sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
     latent = latest(table(spark, sf_dir, "latent_set").select("set_id", "built_at", "source_ids"), "set_id", "built_at", "source_ids")
     sets = table(spark, sf_dir, "semantic_set_view").select("original_id").distinct()
@@ -113,7 +162,7 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_splits, p5_found, p5_collapsed, p6_found, p6_report, p7_found, p7_lists, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p5_collapsed, p6_found, p6_report, p7_found, p7_lists, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
