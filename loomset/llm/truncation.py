@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZE = 1 << 15
 #: The regression is fitted on at most this many texts.
@@ -229,7 +230,7 @@ def flag(texts: DataFrame, model: Model, text_col: str = "text", unless: Callabl
     shared = texts.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     names = [c for c in texts.columns if c != text_col] + [text_col]
     ordered = texts.select(*names)
-    schema = ordered.schema.add("cut", "boolean")
+    schema = T.StructType([*ordered.schema.fields, T.StructField("cut", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_cut = shared.value.is_cut
