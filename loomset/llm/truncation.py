@@ -86,10 +86,10 @@ def headline(words: list[str], text: str) -> bool:
 
 def stripped(text: str) -> tuple[str, bool]:
     """The text without white space and cut marks at its end, and whether there was a mark."""
-    s = text.rstrip(" \t\r\n\f\v ​‌‍﻿  ")
+    s = text.rstrip(" \t\r\n\f\v\u00a0\u200b\u200c\u200d\ufeff\u2028\u2029")
     base = CUT_MARK.sub("", s)
     marked = base != s
-    return base.rstrip(" \t\r\n ​"), marked
+    return base.rstrip(" \t\r\n\u00a0\u200b"), marked
 
 
 def goes_on(base: str) -> str | None:
