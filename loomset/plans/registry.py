@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    from loomset.plans import text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
