@@ -175,7 +175,8 @@ def summaries(results: DataFrame, groupings: dict[str, list[str]], measures: tup
 
 def pivoted(results: DataFrame, rows: str, columns: str, values: list[str], measure: str) -> DataFrame:
     """A mean for each row and each of ``values``, NaN where there is none."""
-    return results.groupBy(rows).pivot(columns, values).agg(F.avg(measure)).fillna(float("nan"), subset=values)
+    got = results.groupBy(rows).pivot(columns, values).agg(F.avg(measure))
+    return got.select(rows, *[F.coalesce(F.col(f"`{v}`"), F.lit(float("nan"))).alias(v) for v in values])
 
 
 def last_epoch(history: DataFrame, key: str, fields: list[str]) -> DataFrame:
