@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 LEAST_NORM = 1e-12
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row. An expression that is used inside a lambda, or several times,
+    would otherwise be computed each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -36,11 +42,12 @@ def add(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    return scale(v, 1.0 / F.greatest(norm(v), F.lit(LEAST_NORM)))
+    return let(v, lambda w: let(1.0 / F.greatest(norm(w), F.lit(LEAST_NORM)), lambda by: scale(w, by)))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.greatest(norm(a), F.lit(LEAST_NORM)) * F.greatest(norm(b), F.lit(LEAST_NORM)))
+    length = lambda v: F.greatest(norm(v), F.lit(LEAST_NORM))
+    return let(a, lambda x: let(b, lambda y: dot(x, y) / (length(x) * length(y))))
 
 
 def mean_of(v: Column) -> Column:
@@ -49,9 +56,8 @@ def mean_of(v: Column) -> Column:
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
     """Without affine part; the variance is that of the values themselves."""
-    m = mean_of(v)
-    variance = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v)
-    return F.transform(v, lambda x: (x - m) / F.sqrt(variance + eps))
+    centred = lambda w: let(mean_of(w), lambda m: F.transform(w, lambda x: x - m))
+    return let(v, lambda w: let(centred(w), lambda c: let(F.sqrt(dot(c, c) / F.size(c) + eps), lambda s: F.transform(c, lambda x: x / s))))
 
 
 def top_places(v: Column, k: int, by_size: bool = True) -> Column:
@@ -62,8 +68,7 @@ def top_places(v: Column, k: int, by_size: bool = True) -> Column:
 
 def keep_top(v: Column, k: int, by_size: bool = True) -> Column:
     """The vector with all but its k largest values at 0."""
-    kept = top_places(v, k, by_size)
-    return F.transform(v, lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(F.lit(0.0)))
+    return let(v, lambda w: let(top_places(w, k, by_size), lambda kept: F.transform(w, lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(F.lit(0.0)))))
 
 
 def top_overlap(a: Column, b: Column, k: int) -> Column:
@@ -74,7 +79,7 @@ def top_overlap(a: Column, b: Column, k: int) -> Column:
 
 def apply_matrix(v: Column, rows: Column) -> Column:
     """``v`` times a matrix given by its columns: one value for each of ``rows``."""
-    return F.transform(rows, lambda r: dot(v, r))
+    return let(v, lambda w: F.transform(rows, lambda r: dot(w, r)))
 
 
 def constant(values: Sequence[float]) -> Column:
@@ -88,10 +93,10 @@ def last_position(states: Column, mask: Column) -> Column:
 
 def masked_mean(states: Column, mask: Column) -> Column:
     """The mean of the token vectors that the mask holds."""
-    n = F.greatest(F.aggregate(mask, F.lit(0), lambda a, x: a + x), F.lit(1))
+    count = F.greatest(F.aggregate(mask, F.lit(0), lambda a, x: a + x), F.lit(1))
     zero = F.transform(F.get(states, F.lit(0)), lambda x: F.lit(0.0))
     summed = F.aggregate(F.arrays_zip(states.alias("s"), mask.alias("m")), zero, lambda a, t: F.zip_with(a, t["s"], lambda x, y: x + y * t["m"]))
-    return F.transform(summed, lambda x: x / n)
+    return let(count, lambda n: F.transform(summed, lambda x: x / n))
 
 
 def gaussian(key: Column, i: Column) -> Column:

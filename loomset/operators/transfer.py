@@ -108,8 +108,8 @@ def map_codes(pairs: DataFrame, bridges: DataFrame) -> DataFrame:
         out = []
         for b in mats.to_pylist():
             w = np.array(b["matrix"]).reshape(b["dim"], -1)
-            x = rows.column(x_at).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
-            y = x @ w if rows.num_rows else np.zeros((0, w.shape[1]))
+            flat = rows.column(x_at).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            y = flat.reshape(rows.num_rows, b["dim"]) @ w
             mapped = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, max(1, w.shape[1]), dtype=np.int32)), pa.array(y.ravel()))
             out.append(pa.Table.from_arrays([*rows.select(schema.names).columns, pa.array([b["bridge"]] * rows.num_rows, pa.string()), mapped], names=names))
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(names, [*rows.select(schema.names).schema.types, pa.string(), pa.list_(pa.float64())])})

@@ -16,12 +16,13 @@ def read_attempts(spark: SparkSession, path: str, schema: str | T.StructType, fi
 
 def first_accepted(attempts: DataFrame, slot: list[str], ok: Column, at: str, late: str = "1 hour") -> DataFrame:
     """The first accepted attempt of each slot to arrive; state for a slot is dropped once the watermark has passed."""
-    return attempts.filter(ok).withWatermark(at, late).dropDuplicatesWithinWatermark(slot)
+    timed = attempts.withColumn(at, F.col(at).cast("timestamp"))
+    return timed.filter(ok).withWatermark(at, late).dropDuplicatesWithinWatermark(slot)
 
 
 def reason_counts(attempts: DataFrame, at: str, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """How often each kind of reason was given, by window of time."""
-    rows = attempts.withWatermark(at, late).select(at, F.explode("reasons").alias("reason"))
+    rows = attempts.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).select(at, F.explode("reasons").alias("reason"))
     kind = F.substring_index("reason", "=", 1).alias("reason")
     return rows.groupBy(F.window(at, window), kind).agg(F.count("*").alias("n"))
 
