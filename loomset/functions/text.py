@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomset.functions.binding import let
+
 # White space as Python's str.split() takes it.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -77,7 +79,7 @@ def collapse(text: Column) -> Column:
 def news_text(text: Column, max_chars: int = 500) -> Column:
     """Escaped line ends as blanks, white space collapsed; a longer text loses the word it would be cut in."""
     t = collapse(F.replace(F.coalesce(text, F.lit("")), F.lit("\\n"), F.lit(" ")))
-    return F.when(F.length(t) > max_chars, strip(F.regexp_replace(F.substring(t, 1, max_chars), " [^ ]*$", ""))).otherwise(t)
+    return let(t, lambda x: F.when(F.length(x) > max_chars, strip(F.regexp_replace(F.substring(x, 1, max_chars), " [^ ]*$", ""))).otherwise(x))
 
 
 def normal_token(token: Column) -> Column:
@@ -96,9 +98,10 @@ def word_count(text: Column) -> Column:
 def banned_words(text: Column, max_words: int = 8, min_len: int = 4, extra_stopwords: Iterable[str] = ()) -> Column:
     """The words a rewrite must avoid: by falling frequency, then length, then alphabet."""
     stop = [*STOPWORDS, *(w.lower().strip("-'_ ") for w in extra_stopwords)]
-    tokens = F.filter(band_words(text), lambda w: (F.length(w) >= min_len) & ~w.isin(*stop) & ~w.rlike("^[0-9]+$"))
-    ranked = F.transform(F.array_distinct(tokens), lambda w: F.struct((-F.size(F.filter(tokens, lambda x: x == w))).alias("f"), (-F.length(w)).alias("n"), w.alias("w")))
-    return F.transform(F.slice(F.array_sort(ranked), 1, max_words), lambda x: x["w"])
+    kept = F.filter(band_words(text), lambda w: (F.length(w) >= min_len) & ~w.isin(*stop) & ~w.rlike("^[0-9]+$"))
+    rank = lambda tokens: lambda w: F.struct((-F.size(F.filter(tokens, lambda x: x == w))).alias("f"), (-F.length(w)).alias("n"), w.alias("w"))
+    ranked = let(kept, lambda tokens: F.array_sort(F.transform(F.array_distinct(tokens), rank(tokens))))
+    return F.transform(F.slice(ranked, 1, max_words), lambda x: x["w"])
 
 
 def banned_hits(text: Column, banned: Column) -> Column:
@@ -114,9 +117,10 @@ def clean_answer(text: Column) -> Column:
     t = strip(F.regexp_replace(t, r"```$", ""))
     t = F.regexp_replace(t, f"^{quotes}+|{quotes}+$", "")
     for marker in ANSWER_MARKERS:
-        t = F.when(t.rlike(f"(?is){marker}"), strip(F.regexp_replace(t, f"(?is)^.*{marker}", ""))).otherwise(t)
+        # a text without the marker stays as it is; one with it is stripped too
+        t = strip(F.regexp_replace(t, f"(?is)^.*{marker}", ""))
     lines = F.filter(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: strip(x) != "")
-    first = F.when(F.size(lines) > 0, F.regexp_replace(F.get(lines, F.lit(0)), r"^[ \-\t]+|[ \-\t]+$", "")).otherwise(t)
+    first = F.coalesce(F.regexp_replace(F.get(lines, F.lit(0)), r"^[ \-\t]+|[ \-\t]+$", ""), F.lit(""))
     return F.regexp_replace(first, f"^{quotes}+|{quotes}+$", "")
 
 
@@ -134,7 +138,7 @@ def content_tokens(text: Column) -> Column:
 def token_jaccard(a: Column, b: Column, both_empty: float) -> Column:
     """Distinct tokens in common by distinct tokens in either; ``both_empty`` where neither has any."""
     union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return let(union, lambda n: F.when(n == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / n))
 
 
 def contains_any(text: Column, fragments: Iterable[str]) -> Column:
@@ -168,8 +172,7 @@ def script_matches(text: Column, hint: Column) -> Column:
 
 
 def short_text(text: Column, limit: int = 180) -> Column:
-    t = collapse(text)
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.substring(t, 1, limit - 3), F.lit("...")))
+    return let(collapse(text), lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.substring(t, 1, limit - 3), F.lit("..."))))
 
 
 def escape_cell(text: Column) -> Column:

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomset.functions.binding import let
+
 #: A norm below this counts as this, so a zero vector stays zero.
 LEAST_NORM = 1e-12
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once a row. An expression that is used inside a lambda, or several times,
-    would otherwise be computed each time."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomset.functions import text as T
+from loomset.functions.binding import let
 
 
 def reasons(*rules: Column) -> Column:
@@ -15,13 +16,15 @@ def reasons(*rules: Column) -> Column:
 
 def rewrite_reasons(text: Column, banned: Column, low: Column, high: Column) -> Column:
     """Of a rewrite: its words, banned words in it, its length."""
-    n = T.word_count(text)
-    hits = T.banned_hits(text, banned)
-    return reasons(
-        F.when((n < low) | (n > high), F.format_string("word_count=%d, expected=%d-%d", n, low, high)),
-        F.when(F.size(hits) > 0, F.concat(F.lit("banned_words="), F.array_join(hits, ","))),
-        F.when(F.length(text) < 5, "empty_or_too_short"),
-    )
+    def judge(x: Column) -> Column:
+        n, hits = x["n"], x["hits"]
+        return reasons(
+            F.when((n < low) | (n > high), F.format_string("word_count=%d, expected=%d-%d", n, low, high)),
+            F.when(F.size(hits) > 0, F.concat(F.lit("banned_words="), F.array_join(hits, ","))),
+            F.when(F.length(text) < 5, "empty_or_too_short"),
+        )
+
+    return let(F.struct(T.word_count(text).alias("n"), T.banned_hits(text, banned).alias("hits")), judge)
 
 
 def semantic_reasons(cosine: Column, entailment: Column, contradiction: Column, least_cosine: float = 0.62, least_entailment: float = 0.50, most_contradiction: float = 0.25) -> Column:
@@ -85,12 +88,12 @@ def latent_issues(min_views: int = 2, min_types: int = 2) -> Column:
     refs = F.when(F.size(texts) > 0, F.concat(ids, F.transform(F.sequence(F.lit(0), F.greatest(F.size(texts) - 1, F.lit(0))), lambda i: i.cast("string")))).otherwise(none)
     empty = lambda c: F.coalesce(T.strip(c), F.lit("")) == ""
     view = F.flatten(F.zip_with(texts, ids, lambda v, i: reasons(F.when(empty(v["text"]), F.concat(F.lit("empty_view_text:"), i)), F.when(empty(v["view_type"]), F.concat(F.lit("missing_view_type:"), i)))))
-    known = lambda c: F.array_contains(refs, F.coalesce(c, F.lit("")))
-    edge = F.flatten(F.transform(edges, lambda e: reasons(
-        F.when(~known(e["source"]), F.concat(F.lit("edge_unknown_source:"), F.coalesce(e["source"], F.lit("")))),
-        F.when(~known(e["target"]), F.concat(F.lit("edge_unknown_target:"), F.coalesce(e["target"], F.lit("")))),
+    known = lambda ids, c: F.array_contains(ids, F.coalesce(c, F.lit("")))
+    edge = F.flatten(let(refs, lambda ids: F.transform(edges, lambda e: reasons(
+        F.when(~known(ids, e["source"]), F.concat(F.lit("edge_unknown_source:"), F.coalesce(e["source"], F.lit("")))),
+        F.when(~known(ids, e["target"]), F.concat(F.lit("edge_unknown_target:"), F.coalesce(e["target"], F.lit("")))),
         F.when(F.coalesce(e["relation"], F.lit("positive")) == "", "edge_missing_relation"),
-    )))
+    ))))
     negative = F.flatten(F.zip_with(negatives, F.transform(negatives, numbered("negative")), lambda n, i: reasons(
         F.when(empty(n["text"]), F.concat(F.lit("empty_negative_text:"), i)),
         F.when(F.coalesce(T.strip(n["negative_type"]), F.lit("hard_negative")) == "", F.concat(F.lit("missing_negative_type:"), i)),
