@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import bpe, formatting, leaks, neardup, neighbours, overlap, pairs, spans, splits, truncation
+from loomset.llm import bpe, formatting, leaks, neardup, neighbours, oracles, overlap, pairs, spans, splits, truncation
 from loomset.runtime import latest, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,4 +166,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
