@@ -26,7 +26,7 @@ from loomset.runtime import words
 
 BUCKETS = 1 << 18
 #: A word or pair of words in more sets than this is made longer.
-FREQUENT = 200
+FREQUENT = 1_000
 
 _U = np.uint64
 
