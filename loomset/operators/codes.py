@@ -121,3 +121,18 @@ def reconstruction(rows: DataFrame, x: str, recon: str) -> DataFrame:
     d = F.zip_with(x, recon, lambda a, b: (a - b) * (a - b))
     got = rows.agg(F.avg(V.mean_of(d)).alias("mse"), F.avg(V.mean_of(F.transform(x, lambda a: a * a))).alias("input_energy"))
     return got.withColumn("normalized_mse", F.when(F.col("input_energy") > 0, F.col("mse") / F.col("input_energy")).otherwise(float("nan")))
+
+
+def decoder_directions(decoder: np.ndarray, signs: DataFrame, length: float = 1.0, sign_mode: str = "active_mean") -> DataFrame:
+    """``key, dim, direction``: the columns of a decoder (dim x concepts) scaled to ``length``, turned by the concept's
+    sign (``active_mean``), as they are (``positive``), or the other way (``opposite_active_mean``, ``negative``)."""
+    if sign_mode not in ("active_mean", "opposite_active_mean", "positive", "negative"):
+        raise ValueError(f"no sign mode {sign_mode!r}")
+    norms = np.linalg.norm(decoder, axis=0)
+    scaled = (decoder / np.maximum(norms, 1e-12) * length).T
+    table = signs.sparkSession.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(scaled)], "dim int, d array<double>")
+    turn = F.lit(-1.0 if sign_mode in ("opposite_active_mean", "negative") else 1.0)
+    if sign_mode.endswith("active_mean"):
+        turn = turn * F.col("sign")
+    # as many rows as the model has concepts
+    return signs.join(F.broadcast(table), "dim").select("key", "dim", V.scale(F.col("d"), turn).alias("direction"))

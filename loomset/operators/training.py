@@ -138,3 +138,23 @@ def train_banks(vectors: DataFrame, dim: int, concepts: int = 64, topk: int = 8,
         return pa.table({"bank_id": pa.array([key[0].as_py()] * epochs), "epoch": pa.array(range(1, epochs + 1), pa.int32()), "loss": losses, "n_sets": pa.array([len(x)] * epochs, pa.int64())})
 
     return flat.groupBy("bank_id").applyInArrow(run, "bank_id string, epoch int, loss double, n_sets bigint")
+
+
+def bank_losses(vectors: DataFrame, dim: int, concepts: int = 64, topk: int = 8, views: int = 2, batch: int = 256, seed: int = 0) -> DataFrame:
+    """``bank_id, part, loss, n_batches``: the parts of the loss of a fresh model over all sets of a bank, as means of
+    the batches' values. Sets are batched by bank and hash, so a bank takes as many tasks as it has batches."""
+    from pyspark.sql import Window as W
+
+    ranked = vectors.withColumn("_v", F.row_number().over(W.partitionBy("bank_id", "set_idx").orderBy("view_idx"))).filter(F.col("_v") <= views)
+    sets = ranked.groupBy("bank_id", "set_idx").agg(F.array_sort(F.collect_list(F.struct("_v", F.col("hidden").cast("array<double>").alias("h")))).alias("vs")).filter(F.size("vs") == views)
+    sizes = sets.groupBy("bank_id").agg(F.ceil(F.count("*") / F.lit(batch)).alias("_n"))
+    parted = sets.join(sizes, "bank_id").select("bank_id", "set_idx", F.pmod(F.xxhash64("set_idx"), F.col("_n")).alias("_b"), F.flatten(F.transform("vs", lambda v: v["h"])).alias("x"))
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("set_idx")
+        x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, views, dim)
+        parts = SetCoder(dim, concepts, topk, seed=seed).losses(x)
+        return pa.table({"bank_id": pa.array([key[0].as_py()] * len(parts)), "part": list(parts), "loss": list(parts.values())})
+
+    got = parted.groupBy("bank_id", "_b").applyInArrow(run, "bank_id string, part string, loss double")
+    return got.groupBy("bank_id", "part").agg(F.avg("loss").alias("loss"), F.count("*").alias("n_batches"))

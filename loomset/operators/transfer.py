@@ -216,3 +216,14 @@ def rank_concepts(concepts: DataFrame, top: int) -> DataFrame:
 
     w = W.partitionBy(*PAIR).orderBy(F.desc("inspection_score"), "target_concept_dim")
     return concepts.withColumn("concept_rank_in_pair", F.row_number().over(w)).filter(F.col("concept_rank_in_pair") <= top)
+
+
+def collect_runs(runs: dict[str, DataFrame]) -> DataFrame:
+    """Tables of several runs as one, with the label of each run."""
+    out = None
+    for label, df in runs.items():
+        tagged = df.withColumn("run", F.lit(label))
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no runs")
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomset.functions import text as T
-from loomset.operators import jobs, sampling, selection, sets, validation
+from loomset.operators import generation, jobs, sampling, selection, sets, validation
 from loomset.plans import tables as Q
 from loomset.plans.registry import query
 from loomset.runtime import materialize, table
@@ -319,3 +319,23 @@ def rendered_jobs(spark, d):
     views = spark.createDataFrame([("a", "objects"), ("b", "scene")], "view_id string, instruction string")
     made = jobs.render_jobs(images, models, languages, views, "Describe in {language_name}: {view_instruction}")
     return jobs.mock_answers(made).select("image_id", "job_id", "prompt")
+
+
+@query("generated_texts", f"""SELECT original_id, CASE length(original_text) % 3 WHEN 0 THEN 'The company reported stronger results as demand grew abroad.' WHEN 1 THEN 'Officials confirmed the agreement after long talks on Monday.' WHEN 2 THEN 'Researchers found new evidence that supports the earlier claim.' END AS output_text, 'ok' AS generation_status FROM {Q.SETS_SQL} WHERE original_text IS NOT NULL""")
+def generated_texts(spark, d):
+    """The stand-in generator over one prompt for each original."""
+    prompts = Q.sets(spark, d).filter("original_text is not null").select("original_id", F.col("original_text").alias("prompt"), F.lit("dry-run").alias("model_id"))
+    return generation.generate(prompts, lambda _: generation.dry_run).select("original_id", "output_text", "generation_status")
+
+
+@query("job_counts", f"SELECT model_name, length_band, count(*) AS n FROM {Q.ATTEMPTS_SQL} GROUP BY 1, 2")
+def job_counts(spark, d):
+    return Q.attempts(spark, d).groupBy("model_name", "length_band").agg(F.count("*").alias("n"))
+
+
+@query("merged_shards", f"""SELECT original_id, attempt_idx, row_number() OVER (ORDER BY original_id, coalesce(model_name, ''), coalesce(length_band, ''), attempt_idx) - 1 AS ord FROM {Q.ATTEMPTS_SQL}""")
+def merged_shards(spark, d):
+    """Shards of attempts put together and numbered in one order."""
+    rows = Q.attempts(spark, d).select("original_id", F.coalesce("model_name", F.lit("")).alias("m"), F.coalesce("length_band", F.lit("")).alias("b"), *_big("attempt_idx"))
+    both = rows.filter("attempt_idx % 2 = 0").unionByName(rows.filter("attempt_idx % 2 = 1"))
+    return selection.numbered(both, "original_id", "m", "b", "attempt_idx").select("original_id", "attempt_idx", "ord")

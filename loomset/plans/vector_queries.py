@@ -232,3 +232,16 @@ def streamed_first(spark, d):
     q = first.writeStream.foreachBatch(stream.append_new(["original_id", "length_band"], path)).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path)
+
+
+@query("bank_losses")
+def bank_losses(spark, d):
+    return training.bank_losses(_valid(spark, d), DIM)
+
+
+@query("decoder_directions", f"""
+SELECT key, i AS dim, CASE WHEN coalesce(avg(CASE WHEN v <> 0 THEN v END), 0) >= 0 THEN 2.0 ELSE -2.0 END AS at_own_place FROM (SELECT key, unnest(z) AS v, generate_subscripts(z, 1) - 1 AS i FROM {_CODES}) GROUP BY 1, 2""")
+def decoder_directions(spark, d):
+    signs = codes.concept_signs(_codes(spark, d))
+    got = codes.decoder_directions(3.0 * np.eye(DIM), signs, length=2.0)
+    return got.select("key", F.col("dim").cast("bigint").alias("dim"), F.get("direction", F.col("dim")).alias("at_own_place"))

@@ -114,3 +114,27 @@ def test_candidates(spark):
     assert len(got) == 1 and got[0]["target_concept_dim"] == 7 and "windows" in got[0]["keywords"].split(";")
     typed = steering.typed_candidates(spark.createDataFrame([("1", "7", "0.5", "a; b")], "rank string, target_concept_dim string, inspection_score string, keywords string")).first()
     assert typed["rank"] == 1 and typed["inspection_score"] == 0.5 and typed["keywords"] == ["a", "b"]
+
+
+def test_generators_lose_no_row(spark):
+    from loomset.operators import generation
+
+    def make(model):
+        def run(prompts):
+            if any("bad" in p for p in prompts):
+                raise RuntimeError("no")
+            return [f"{model}:{p}" for p in prompts]
+
+        return run
+
+    rows = [("a", f"p{i}") for i in range(5)] + [("b", "bad one"), ("b", "fine"), ("b", None)]
+    got = {(r["model_id"], r["prompt"]): r for r in generation.generate(spark.createDataFrame(rows, "model_id string, prompt string"), make, batch=3).collect()}
+    assert len(got) == 8 and got["a", "p0"]["output_text"] == "a:p0" and got["b", "fine"]["output_text"] == "b:fine" and got["b", None]["generation_status"] == "ok"
+    assert got["b", "bad one"]["generation_status"] == "error" and "RuntimeError: no" in got["b", "bad one"]["generation_error"]
+
+
+def test_runs_are_collected(spark):
+    from loomset.operators import transfer
+
+    a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2, 3)], "x int, y int")
+    assert sorted(map(tuple, transfer.collect_runs({"one": a, "two": b}).select("run", "x", "y").collect())) == [("one", 1, None), ("two", 2, 3)]
