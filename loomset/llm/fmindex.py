@@ -151,28 +151,6 @@ class FMIndex:
             steps += 1
         return found
 
-    def maximal_matches(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The longest match that ends at each place of ``text`` and that the next place doesn't prolong:
-        end (exclusive), length, lo, hi. Separators and unknown symbols match nothing."""
-        text = np.asarray(text, dtype=np.int64)
-        m = len(text)
-        known = (text > 0) & (text < self.sigma)
-        length = np.zeros(m + 1, dtype=np.int64)
-        lo, hi = np.zeros(m, dtype=np.int64), np.full(m, self.n, dtype=np.int64)
-        live = np.flatnonzero(known)
-        k = 0
-        while len(live):
-            l2, h2 = self.extend(text[live - k], lo[live], hi[live])
-            ok = h2 > l2
-            live = live[ok]
-            lo[live], hi[live] = l2[ok], h2[ok]
-            length[live] += 1
-            k += 1
-            live = live[live >= k]
-            live = live[known[live - k]]
-        ends = np.flatnonzero((length[:m] > 0) & (length[1:] != length[:m] + 1))
-        return ends + 1, length[ends], lo[ends], hi[ends]
-
 
 def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges [lo, hi), and for each the range it is of."""

@@ -34,15 +34,6 @@ def test_suffixes_of_repeated_text():
     assert sorted(sa) == list(range(len(text))) and all(tuple(text[a:]) < tuple(text[b:]) for a, b in zip(sa[:-1], sa[1:]))
 
 
-def test_maximal_matches():
-    text, other = rng.integers(0, 4, 300), rng.integers(0, 5, 80)
-    joined = lambda x: "," + ",".join(map(str, x)) + ","
-    t = joined(text)
-    for end, n, lo, hi in zip(*FMIndex(text).maximal_matches(other)):
-        assert joined(other[end - n : end]) in t and hi > lo
-        assert end == n or other[end - n - 1] == 0 or joined(other[end - n - 1 : end]) not in t
-
-
 @pytest.fixture(scope="module")
 def reference():
     pytest.importorskip("tiktoken")
