@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomset.functions import text as T
-from loomset.operators import jobs, selection, validation
+from loomset.operators import jobs
 from loomset.plans import tables as Q
 from loomset.plans.registry import query
 from loomset.runtime import table
