@@ -35,9 +35,9 @@ SAMPLE = 40_000
 CELL = 256  # vectors in a cell, as far as MOST_CELLS allows
 MOST_CELLS = 2_048
 PART = 4_096  # classes of a cell that are searched at once
-BOOKS, ENTRIES, BEAM = 6, 128, 4
+BOOKS, ENTRIES, BEAM = 8, 128, 4
 PROBES = 24
-RERANK = 40
+RERANK = 64
 DECIMALS = 9
 
 
