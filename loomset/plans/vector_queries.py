@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -205,8 +205,8 @@ def streamed_reasons(spark, d):
     """Reasons counted by a stream in windows of time, added up when it has read everything."""
     rows = spark.readStream.schema(table(spark, d, "rejected").schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(_folder(d, "rejected"))
     counted = stream.reason_counts(rows, "logged_at", "1 day", "3650 days")
-    name = f"reasons_{abs(hash(d)) % 10**8}"
-    q = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp()).start()
+    name = f"reasons_{uuid.uuid4().hex}"
+    q = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").start()
     try:
         q.processAllAvailable()
     finally:
@@ -228,7 +228,7 @@ def streamed_first(spark, d):
     rows = spark.readStream.schema(table(spark, d, "semantic_set_view").schema).parquet(_folder(d, "semantic_set_view"))
     each = rows.select("original_id", "built_at", F.explode("rewrite_meta").alias("r")).select("original_id", "built_at", "r.length_band", "r.text").filter("length_band is not null")
     first = stream.first_accepted(each, ["original_id", "length_band"], F.lit(True), "built_at", "3650 days").select("original_id", "length_band")
-    path = f"{shared_dir(spark)}/streamed-{np.random.default_rng().integers(1 << 60)}"
+    path = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
     q = first.writeStream.foreachBatch(stream.append_new(["original_id", "length_band"], path)).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path)
