@@ -24,8 +24,6 @@ from pyspark.sql import Window as W
 from loomset.runtime import materialize
 
 HOT_ROWS = 100_000
-#: Sums are kept exactly up to this many records; beyond, large groups are placed in units and small ones fill.
-EXACT_RECORDS = 1 << 22
 HASH_BUCKETS = 1 << 10
 
 
@@ -88,42 +86,45 @@ def source_groups(records: DataFrame) -> DataFrame:
 
 def closest_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many groups of each size to take so that their total is as close to ``target`` as can be; of two
-    totals equally close, the smaller."""
-    total = sum(s * m for s, m in sizes.items())
-    unit = max(1, total // EXACT_RECORDS)
+    totals equally close, the smaller. Sums are exact: a bitset has as many bits as the target and the largest size."""
+    room = target + max(sizes, default=0)
+    mask = (1 << (room + 1)) - 1
     pieces: list[tuple[int, int]] = []  # size and number of groups that are taken together
     for s in sorted(sizes, reverse=True):
         left, k = sizes[s], 1
-        while s >= unit and left > 0:
-            pieces.append((s, min(k, left)))
+        while left > 0:
+            if s * min(k, left) <= room:
+                pieces.append((s, min(k, left)))
             left -= k
             k *= 2
-    goal = target // unit
-    room = goal + max((s // unit for s in sizes if s >= unit), default=0)
-    mask = (1 << (room + 1)) - 1
-    reached = [1]
-    for s, k in pieces:
-        reached.append((reached[-1] | (reached[-1] << (k * (s // unit)))) & mask)
-    sums = reached[-1]
-    below = sums & ((1 << (goal + 1)) - 1)
-    best = below.bit_length() - 1
-    above = sums >> (goal + 1)
+
+    def reach(sums: int, a: int, z: int) -> int:
+        for s, k in pieces[a:z]:
+            sums = (sums | (sums << (k * s))) & mask
+        return sums
+
+    sums = reach(1, 0, len(pieces))
+    best = (sums & ((1 << (target + 1)) - 1)).bit_length() - 1
+    above = sums >> (target + 1)
     if above:
-        high = goal + 1 + (above & -above).bit_length() - 1
-        if high - goal < goal - best:
+        high = target + 1 + (above & -above).bit_length() - 1
+        if high - target < target - best:
             best = high
     taken: dict[int, int] = {}
-    for i in range(len(pieces) - 1, -1, -1):
-        s, k = pieces[i]
-        if not (reached[i] >> best) & 1:
-            best -= k * (s // unit)
+
+    def back(a: int, z: int, before: int, best: int) -> int:
+        """What is left of ``best`` before ``pieces[a:z]``. Halves are reached anew, so few bitsets are held at once."""
+        if z - a == 1:
+            s, k = pieces[a]
+            if (before >> best) & 1:
+                return best
             taken[s] = taken.get(s, 0) + k
-    if unit > 1:  # the small groups fill what is left
-        rest = target - sum(s * m for s, m in taken.items())
-        for s in sorted((s for s in sizes if s < unit), reverse=True):
-            if rest >= s:
-                taken[s] = min(sizes[s], rest // s)
-                rest -= s * taken[s]
+            return best - k * s
+        mid = (a + z) // 2
+        return back(a, mid, before, back(mid, z, reach(before, a, mid), best))
+
+    if pieces:
+        back(0, len(pieces), 1, best)
     return taken
 
 

@@ -194,3 +194,9 @@ def test_subset_sums():
         assert all(k <= sizes[s] for s, k in taken.items()) and abs(total - target) == min(abs(x - target) for x in sums)
     big = splits.closest_counts({1: 10**9, 5_000_000: 20}, 110_000_000)
     assert sum(s * k for s, k in big.items()) == 110_000_000
+
+
+def test_subset_sums_of_many_small_groups():
+    for sizes, target in (({3: 4_000_000}, 1_200_000), ({3: 2_000_000, 5: 700_000, 7: 300_001}, 1_160_001)):
+        taken = splits.closest_counts(sizes, target)
+        assert all(k <= sizes[s] for s, k in taken.items()) and sum(s * k for s, k in taken.items()) == target
