@@ -1,11 +1,14 @@
 """Problem 7: the k most similar vectors of every vector, by cosine, within its bank.
 
-A model is fitted on a bounded sample of unit vectors: coarse centroids, and additive codebooks whose entries
-have the full dimension, each fitted to what the ones before left over. Every vector is then encoded by beam
-search over the codebooks; what is kept are its cell (nearest centroid), its codes and the stored norm of the
-sum they stand for. A query visits the cells nearest to it; in each, scores are sums of entries of its lookup
-tables, divided by the stored norms, and the best are ranked again by the exact cosine. Results of the cells
-are merged by query.
+A model is fitted for each large bank on a bounded sample of its unit vectors: coarse centroids, as many as the
+bank's own size asks for, and additive codebooks whose entries have the full dimension, each fitted to what the
+ones before left over. Every vector is then encoded by beam search over the codebooks; what is kept are its cell
+(nearest centroid), its codes and the stored norm of the sum they stand for. A query visits the cells nearest to
+it; in each, scores are sums of entries of its lookup tables, divided by the stored norms, and the best are ranked
+again by the exact cosine. Results of the cells are merged by query.
+
+A bank that has no more vectors than a query would visit is searched exactly, and so is, against its whole bank,
+every query whose visited cells hold fewer than k + 1 classes.
 
 Vectors of one bank that are equal form one class: one query, and at most k + 1 of its smallest ids as answers,
 for no more can be among anyone's k best. A cell with many classes is parted, and a query visits all parts, so
@@ -30,8 +33,9 @@ from pyspark.sql import Window as W
 from loomset.llm.setsim import lists
 from loomset.runtime import materialize
 
-#: The model is fitted on at most this many vectors, taken by hash of their ids.
+#: The model of a bank is fitted on about this many of its vectors at most, taken by hash of their ids.
 SAMPLE = 40_000
+BANKS = 64  # models that are broadcast at once
 CELL = 256  # vectors in a cell, as far as MOST_CELLS allows
 MOST_CELLS = 2_048
 PART = 4_096  # classes of a cell that are searched at once
@@ -128,6 +132,7 @@ def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     return lists(column)[0].reshape(-1, dim)
 
 
+FOUND = "bank string, q bigint, cid bigint, sim double"
 ROLES = "bank string, cell int, part int, role int, cid bigint, vec array<float>, codes binary, norm float"
 
 
@@ -136,33 +141,51 @@ def _route_rows(model, dim: int, probes: int):
     it visits. Parts are given later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        k = min(probes, len(m.centres))
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                b = batch.slice(at, 4096)
-                raw = _matrix(b.column(2), dim)
-                x = _unit(raw)
-                cell, codes, norm = m.encode(x)
-                near = _nearest(x.astype(np.float32), m.centres, k)
-                n = b.num_rows
-                take = np.concatenate((np.arange(n), np.repeat(np.arange(n), k)))
-                whole = b.take(pa.array(take))
-                is_query = np.arange(len(take)) >= n
-                packed = [c.tobytes() for c in codes] + [None] * (n * k)
-                norms = np.concatenate((norm, np.zeros(n * k, dtype=np.float32)))
-                cells = np.concatenate((cell, near.ravel())).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [whole.column(0), pa.array(cells), pa.array(np.zeros(len(take), dtype=np.int32)), pa.array(is_query.astype(np.int32)), whole.column(1), whole.column(2), pa.array(packed, pa.binary()), pa.array(norms)],
-                    names=["bank", "cell", "part", "role", "cid", "vec", "codes", "norm"],
-                )
+            bank = batch.column(0).to_numpy(zero_copy_only=False)
+            for name in dict.fromkeys(bank):
+                m: Model = model.value[name]
+                k = min(probes, len(m.centres))
+                yield from route(m, k, batch.take(pa.array(np.flatnonzero(bank == name))))
+
+    def route(m: Model, k: int, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, 4096):
+            b = batch.slice(at, 4096)
+            raw = _matrix(b.column(2), dim)
+            x = _unit(raw)
+            cell, codes, norm = m.encode(x)
+            near = _nearest(x.astype(np.float32), m.centres, k)
+            n = b.num_rows
+            take = np.concatenate((np.arange(n), np.repeat(np.arange(n), k)))
+            whole = b.take(pa.array(take))
+            is_query = np.arange(len(take)) >= n
+            packed = [c.tobytes() for c in codes] + [None] * (n * k)
+            norms = np.concatenate((norm, np.zeros(n * k, dtype=np.float32)))
+            cells = np.concatenate((cell, near.ravel())).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [whole.column(0), pa.array(cells), pa.array(np.zeros(len(take), dtype=np.int32)), pa.array(is_query.astype(np.int32)), whole.column(1), whole.column(2), pa.array(packed, pa.binary()), pa.array(norms)],
+                names=["bank", "cell", "part", "role", "cid", "vec", "codes", "norm"],
+            )
 
     return run
 
 
 def _search_rows(model, dim: int, k: int, rerank: int):
     """For mapInArrow over rows in order of bank, cell, part and role (answers first): ``bank, q, cid, sim``,
-    the best k + 1 classes of each query in each part."""
+    the best k + 1 classes of each query in each part. Without a model every answer is compared exactly."""
+
+    def compare(answers: tuple, q_cid: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        cid, unit = answers[:2]
+        keep = min(k + 1, len(cid))
+        for a in range(0, len(q), 512):
+            exact = np.round(q[a : a + 512] @ unit.T, DECIMALS)
+            least = np.partition(exact, len(cid) - keep, axis=1)[:, len(cid) - keep]
+            at, to = np.nonzero(exact >= least[:, None])  # ties of the last included
+            order = np.lexsort((cid[to], -exact[at, to], at))
+            at, to = at[order], to[order]
+            first = np.searchsorted(at, np.arange(len(exact)))
+            kept = np.arange(len(at)) - first[at] < keep
+            yield q_cid[a : a + 512][at[kept]], cid[to[kept]], exact[at[kept], to[kept]]
 
     def search(m: Model, answers: tuple, q_cid: np.ndarray, q: np.ndarray, cell: int) -> Iterator[tuple[np.ndarray, ...]]:
         cid, unit, codes, norm = answers
@@ -185,14 +208,13 @@ def _search_rows(model, dim: int, k: int, rerank: int):
             yield np.repeat(q_cid[a : a + 512], keep), np.take_along_axis(ids, order, 1).ravel(), np.take_along_axis(exact, order, 1).ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
         place, answers, held = None, None, []
 
         def load() -> None:
             nonlocal answers, held
             if held:
                 t = pa.Table.from_batches(held)
-                codes = np.frombuffer(b"".join(t.column(6).to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
+                codes = np.frombuffer(b"".join(t.column(6).to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1) if model else None
                 answers = (t.column(4).to_numpy(), _unit(_matrix(t.column(5), dim)), codes, t.column(7).to_numpy())
                 held = []
 
@@ -213,7 +235,8 @@ def _search_rows(model, dim: int, k: int, rerank: int):
                 load()
                 if answers is None:
                     continue
-                for q, n, sim in search(m, answers, rows.column(4).to_numpy(), _unit(_matrix(rows.column(5), dim)), int(cell[a])):
+                asked = rows.column(4).to_numpy(), _unit(_matrix(rows.column(5), dim))
+                for q, n, sim in search(model.value[here[0]], answers, *asked, int(cell[a])) if model else compare(answers, *asked):
                     yield pa.RecordBatch.from_arrays([pa.array([here[0]] * len(q), pa.string()), pa.array(q), pa.array(n), pa.array(sim)], names=["bank", "q", "cid", "sim"])
 
     return run
@@ -228,29 +251,70 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, bank_col: str, dim:
     return good.groupBy("bank", "id").agg(F.max("vec").alias("vec"))
 
 
-def nearest_lists(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "hidden", bank_col: str = "bank_id", dim: int = 48, probes: int = PROBES, rerank: int = RERANK, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
-    """``bank, id, rank, neighbour, sim``: up to k neighbours of every vector that takes part."""
-    spark = vectors.sparkSession
-    rows = materialize(_classes(vectors, id_col, vec_col, bank_col, dim), "vectors")
-    grouped = rows.groupBy("bank", "vec").agg(F.min("id").alias("cid"), F.count("*").alias("n"))
-    classes = materialize(grouped, "classes")
-    total = classes.count()
-    if total == 0:
-        return spark.createDataFrame([], "bank string, id bigint, rank int, neighbour bigint, sim double")
-    # the bounded sample; with fewer vectors than that, all of them
-    picked = classes if total <= sample else classes.filter(F.pmod(F.xxhash64("cid", "bank"), F.lit(1 << 40)) < int(1.05 * sample / total * (1 << 40)))
-    got = picked.select("bank", "cid", "vec").limit(int(1.2 * sample)).toArrow().combine_chunks()
-    got = got.sort_by([("bank", "ascending"), ("cid", "ascending")])
-    fitted = Model.fit(_unit(_matrix(got.column(2), dim)), max(1, min(MOST_CELLS, total // cell)))
-    model = spark.sparkContext.broadcast(fitted)  # at most MOST_CELLS + BOOKS * ENTRIES vectors
+def _fit_rows(dim: int):
+    """For applyInArrow over a bank's sample ``bank, cid, vec, cells``: its model."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("cid")
+        m = Model.fit(_unit(_matrix(rows.column("vec").combine_chunks(), dim)), rows.column("cells")[0].as_py())
+        return pa.table({"bank": rows.column("bank").slice(0, 1), "centres": pa.array([m.centres.tobytes()]), "books": pa.array([m.books.tobytes()])})
+
+    return run
+
+
+def _exact(queries: DataFrame, answers: DataFrame, dim: int, k: int) -> DataFrame:
+    """``bank, q, cid, sim`` of ``bank, cid, vec, parts``: each query compared with all answers of its bank, which
+    are parted so that no task holds many of them."""
+    cols = ["bank", F.lit(0).alias("cell"), "part", "role", "cid", "vec", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).cast("float").alias("norm")]
+    to = answers.withColumns({"part": F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"), "role": F.lit(0)})
+    asked = queries.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(1)})
+    placed = to.select(*cols).unionByName(asked.select(*cols))
+    ordered = placed.repartition("bank", "cell", "part").sortWithinPartitions("bank", "cell", "part", "role")
+    return ordered.mapInArrow(_search_rows(None, dim, k, 0), FOUND)
+
+
+def _approximate(classes: DataFrame, dim: int, k: int, probes: int, rerank: int, sample: int) -> DataFrame:
+    """``bank, q, cid, sim`` of ``bank, cid, vec, many, cells, parts``, the classes of at most ``BANKS`` banks."""
+    share = F.pmod(F.xxhash64("cid", "bank"), F.lit(1 << 40)) < F.lit(1.05 * sample * (1 << 40)) / F.col("many")
+    picked = classes.filter((F.col("many") <= sample) | share).select("bank", "cid", "vec", "cells")
+    fitted = picked.groupBy("bank").applyInArrow(_fit_rows(dim), "bank string, centres binary, books binary").collect()
+    models = {r["bank"]: Model(np.frombuffer(r["centres"], np.float32).reshape(-1, dim), np.frombuffer(r["books"], np.float32).reshape(BOOKS, -1, dim)) for r in fitted}
+    model = classes.sparkSession.sparkContext.broadcast(models)  # at most BANKS * (MOST_CELLS + BOOKS * ENTRIES) vectors
 
     routed = materialize(classes.select("bank", "cid", "vec").mapInArrow(_route_rows(model, dim, probes), ROLES), "routed")
-    parts = routed.filter("role = 0").groupBy("bank", "cell").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
+    held = materialize(routed.filter("role = 0").groupBy("bank", "cell").agg(F.count("*").alias("held")), "held")
+    parts = held.select("bank", "cell", F.ceil(F.col("held") / F.lit(PART)).cast("int").alias("parts"))
     split = routed.drop("part").join(parts, ["bank", "cell"])
     part = F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     placed = split.withColumn("part", F.explode(part)).select("bank", "cell", "part", "role", "cid", "vec", "codes", "norm")
     ordered = placed.repartition("bank", "cell", "part").sortWithinPartitions("bank", "cell", "part", "role")
-    found = ordered.mapInArrow(_search_rows(model, dim, k, rerank), "bank string, q bigint, cid bigint, sim double")
+    found = ordered.mapInArrow(_search_rows(model, dim, k, rerank), FOUND)
+
+    # queries that saw too few go to their whole bank
+    seen = routed.filter("role = 1").select("bank", "cell", "cid").join(F.broadcast(held), ["bank", "cell"], "left").groupBy("bank", "cid").agg(F.coalesce(F.sum("held"), F.lit(0)).alias("seen"))
+    short = materialize(seen.filter(F.col("seen") < k + 1).select("bank", "cid"), "short")
+    if short.isEmpty():
+        return found
+    asked = classes.join(short, ["bank", "cid"], "left_semi")
+    return found.join(short.select("bank", F.col("cid").alias("q")), ["bank", "q"], "left_anti").unionByName(_exact(asked, classes.join(F.broadcast(short.select("bank").distinct()), "bank", "left_semi"), dim, k))
+
+
+def nearest_lists(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "hidden", bank_col: str = "bank_id", dim: int = 48, probes: int = PROBES, rerank: int = RERANK, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
+    """``bank, id, rank, neighbour, sim``: up to k neighbours of every vector that takes part."""
+    spark = vectors.sparkSession
+    rows = materialize(_classes(vectors, id_col, vec_col, bank_col, dim), "vectors")
+    grouped = rows.groupBy("bank", "vec").agg(F.min("id").alias("cid"), F.count("*").alias("n"))
+    classes = materialize(grouped, "classes")
+    # banks with more classes than a query visits: each has over probes * cell rows, so they are few
+    large = classes.groupBy("bank").agg(F.count("*").alias("many")).filter(F.col("many") > probes * cell).orderBy("bank").collect()
+    known = [(r["bank"], r["many"], min(MOST_CELLS, r["many"] // cell), -(-r["many"] // PART)) for r in large]
+    search = classes.select("bank", "cid", "vec")
+    schema = "bank string, many bigint, cells int, parts int"
+    rest = search.join(F.broadcast(spark.createDataFrame(known, schema)), "bank", "left_anti").withColumn("parts", F.lit(-(-probes * cell // PART)))
+    found = _exact(rest, rest, dim, k)
+    for a in range(0, len(known), BANKS):
+        some = search.join(F.broadcast(spark.createDataFrame(known[a : a + BANKS], schema)), "bank")
+        found = found.unionByName(_approximate(some, dim, k, probes, rerank, sample))
 
     # of each class the ids that may be among someone's k best
     several = classes.filter("n > 1").select("bank", "vec", "cid")

@@ -51,6 +51,30 @@ def test_recall_over_many_cells(spark):
     assert np.mean([len(got[k] & set(v)) / 10 for k, v in want.items()]) > 0.95
 
 
+def test_small_banks_beside_a_large_one(spark):
+    rng = np.random.default_rng(4)
+    sizes = {"large": 12_000, "some": 300, "tiny": 10, "two": 2}
+    rows = [(1000 * i + at, bank, rng.normal(size=48).tolist(), 0, 0) for at, (bank, n) in enumerate(sizes.items()) for i in range(n)]
+    got = {}
+    for r in nearest_lists(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault((r["bank"], r["id"]), {})[r["rank"]] = r["neighbour"]
+    want = exact([r for r in rows if r[1] != "large"], 10, 48)
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items() if k[0] != "large"} == want
+    assert all(len(want["tiny", 1000 * i + 2]) == 9 for i in range(10))
+    assert all(len(got["large", 1000 * i]) == 10 for i in range(12_000))
+
+
+def test_short_queries_are_completed(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "a", rng.normal(size=16).tolist(), 0, 0) for i in range(600)]
+    got = {}
+    for r in nearest_lists(spark.createDataFrame(rows, SCHEMA), 59, dim=16, cell=30, probes=1).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
+    want = {i: v for (_, i), v in exact(rows, 59, 16).items()}
+    assert {i: len(v) for i, v in got.items()} == {i: 59 for i in want}
+    assert np.mean([[v[r] for r in range(59)] == want[i] for i, v in got.items()]) > 0.5
+
+
 def test_empty(spark):
     assert nearest_lists(spark.createDataFrame([], SCHEMA)).count() == 0 and neighbour_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
 
