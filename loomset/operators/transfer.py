@@ -186,27 +186,42 @@ def last_epoch(history: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return got.select(key, "epoch", *[F.coalesce(F.col(f"_m.{f}"), F.lit(float("nan"))).alias(f) for f in fields])
 
 
+def candidate_pairs(results: DataFrame, bridge: str = "ridge", top: int = 8, **equal) -> DataFrame:
+    """``source_key, target_key`` of the pairs to inspect: of the results without steering under ``bridge`` (and with
+    the values of ``equal``), those that overlap most beyond their shuffled control."""
+    rows = results.filter((F.col("bridge") == bridge) & (F.col("steering_alpha") == 0))
+    for name, value in equal.items():
+        rows = rows.filter(F.col(name) == value)
+    return rows.orderBy(F.desc_nulls_last("real_minus_shuffled_topk"), *PAIR).limit(top).select(*PAIR)
+
+
 def inspect(codes: DataFrame, source: str, target: str, method: str = "ridge", example_k: int = 10, ridge_alpha: float = 1.0) -> DataFrame:
-    """Of one pair of banks, each target concept: how well the mapped codes line up with it, how many of the same
+    """``inspect_pairs`` of one pair of banks."""
+    one = codes.sparkSession.createDataFrame([(source, target)], "source_key string, target_key string")
+    return inspect_pairs(codes.filter(F.col("key").isin(source, target)), one, method, example_k, ridge_alpha)
+
+
+def inspect_pairs(codes: DataFrame, chosen: DataFrame, method: str = "ridge", example_k: int = 10, ridge_alpha: float = 1.0) -> DataFrame:
+    """Of each chosen pair of banks, each target concept: how well the mapped codes line up with it, how many of the same
     examples they put first, both less a shuffled control, and the source concept with the greatest weight."""
-    pairs = code_pairs(codes.filter(F.col("key").isin(source, target))).filter((F.col("source_key") == source) & (F.col("target_key") == target))
+    pairs = code_pairs(codes).join(F.broadcast(chosen), PAIR)
     pairs = materialize(pairs.select(*PAIR, "set_idx", "is_train", "x", "y"), "pairs")
     bridges = materialize(fit_bridges(grams(pairs.filter("is_train")), (method,), ridge_alpha), "bridges")
     mapped = map_codes(with_shuffled(pairs.filter(~F.col("is_train"))), bridges)
-    cells = mapped.select("set_idx", F.posexplode(F.arrays_zip(F.col("mapped").alias("m"), F.col("y").alias("y"), F.col("shuffled_y").alias("s"))).alias("dim", "c")).select("set_idx", "dim", "c.m", "c.y", "c.s")
-    place = lambda c: F.row_number().over(W.partitionBy("dim").orderBy(F.desc(F.abs(F.col(c))), "set_idx")) <= example_k
+    cells = mapped.select(*PAIR, "set_idx", F.posexplode(F.arrays_zip(F.col("mapped").alias("m"), F.col("y").alias("y"), F.col("shuffled_y").alias("s"))).alias("dim", "c")).select(*PAIR, "set_idx", "dim", "c.m", "c.y", "c.s")
+    place = lambda c: F.row_number().over(W.partitionBy(*PAIR, "dim").orderBy(F.desc(F.abs(F.col(c))), "set_idx")) <= example_k
     ranked = cells.withColumns({"tm": place("m"), "ty": place("y"), "ts": place("s")})
     cosine = lambda a, b: F.when((F.sum(F.abs(a)) == 0) | (F.sum(F.abs(b)) == 0), 0.0).otherwise(F.abs(F.sum(F.col(a) * F.col(b))) / F.sqrt(F.sum(F.col(a) * F.col(a)) * F.sum(F.col(b) * F.col(b))))
     share = lambda a, b: F.sum((F.col(a) & F.col(b)).cast("int")) / F.least(F.lit(example_k), F.count("*"))
-    scored = ranked.groupBy("dim").agg(cosine("m", "y").alias("alignment"), cosine("m", "s").alias("shuffled_alignment"), share("tm", "ty").alias("top_example_overlap"), share("tm", "ts").alias("shuffled_top_example_overlap"), F.avg((F.col("y") != 0).cast("double")).alias("target_active_freq"))
-    weights = bridges.select((F.size("matrix") / F.col("dim")).cast("int").alias("wide"), F.posexplode("matrix").alias("at", "w"))
+    scored = ranked.groupBy(*PAIR, "dim").agg(cosine("m", "y").alias("alignment"), cosine("m", "s").alias("shuffled_alignment"), share("tm", "ty").alias("top_example_overlap"), share("tm", "ts").alias("shuffled_top_example_overlap"), F.avg((F.col("y") != 0).cast("double")).alias("target_active_freq"))
+    weights = bridges.select(*PAIR, (F.size("matrix") / F.col("dim")).cast("int").alias("wide"), F.posexplode("matrix").alias("at", "w"))
     width = F.col("wide")
-    cell = weights.select((F.col("at") % width).alias("dim"), F.floor(F.col("at") / width).cast("int").alias("source_concept_dim"), "w")
-    best = cell.groupBy("dim").agg(F.max_by(F.struct("source_concept_dim", F.col("w").alias("bridge_weight")), F.struct(F.abs("w"), -F.col("source_concept_dim"))).alias("b")).select("dim", "b.*")
-    freq = pairs.filter(~F.col("is_train")).select(F.posexplode("x").alias("source_concept_dim", "v")).groupBy("source_concept_dim").agg(F.avg((F.col("v") != 0).cast("double")).alias("source_active_freq"))
-    got = scored.join(best, "dim").join(freq, "source_concept_dim")
+    cell = weights.select(*PAIR, (F.col("at") % width).alias("dim"), F.floor(F.col("at") / width).cast("int").alias("source_concept_dim"), "w")
+    best = cell.groupBy(*PAIR, "dim").agg(F.max_by(F.struct("source_concept_dim", F.col("w").alias("bridge_weight")), F.struct(F.abs("w"), -F.col("source_concept_dim"))).alias("b")).select(*PAIR, "dim", "b.*")
+    freq = pairs.filter(~F.col("is_train")).select(*PAIR, F.posexplode("x").alias("source_concept_dim", "v")).groupBy(*PAIR, "source_concept_dim").agg(F.avg((F.col("v") != 0).cast("double")).alias("source_active_freq"))
+    got = scored.join(best, [*PAIR, "dim"]).join(freq, [*PAIR, "source_concept_dim"])
     score = F.col("alignment") - F.col("shuffled_alignment") + F.col("top_example_overlap") - F.col("shuffled_top_example_overlap")
-    return got.withColumns({"source_key": F.lit(source), "target_key": F.lit(target), "bridge": F.lit(method), "inspection_score": score}).withColumnRenamed("dim", "target_concept_dim")
+    return got.withColumns({"bridge": F.lit(method), "inspection_score": score}).withColumnRenamed("dim", "target_concept_dim")
 
 
 def rank_concepts(concepts: DataFrame, top: int) -> DataFrame:

@@ -166,8 +166,8 @@ def transfer_summaries(spark, d):
 @query("inspected_concepts")
 def inspected_concepts(spark, d):
     rows = _split_codes(spark, d)
-    keys = sorted(r[0] for r in rows.select("key").distinct().collect())[:2]
-    return transfer.rank_concepts(transfer.inspect(rows, *keys), 8)
+    chosen = materialize(transfer.candidate_pairs(transfer.evaluate(rows, ("ridge",), TOPK), "ridge", 8), "chosen")
+    return transfer.rank_concepts(transfer.inspect_pairs(rows, chosen), 8)
 
 
 @query("trained_banks")

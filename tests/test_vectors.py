@@ -81,6 +81,19 @@ def test_inspection(spark, code_table):
     assert [r["concept_rank_in_pair"] for r in sorted(ranked, key=lambda r: -r["inspection_score"])] == [1, 2]
 
 
+def test_inspection_of_candidate_pairs(spark, code_table):
+    _, _, df = code_table
+    third = df.filter("key = 'a'").withColumn("key", F.lit("c"))
+    rows = df.unionByName(third)
+    results = spark.createDataFrame([(s, t, b, x, m) for s, t, m in (("a", "b", 0.1), ("b", "c", 0.5), ("c", "a", 0.9), ("c", "b", 0.5)) for b, x in (("ridge", 0.0), ("ridge", 1.0), ("identity", 0.0))], "source_key string, target_key string, bridge string, steering_alpha double, real_minus_shuffled_topk double")
+    chosen = transfer.candidate_pairs(results, "ridge", 3)
+    assert [tuple(r) for r in chosen.collect()] == [("c", "a"), ("b", "c"), ("c", "b")]
+    got = transfer.inspect_pairs(rows, chosen, example_k=3).collect()
+    assert {(r["source_key"], r["target_key"]) for r in got} == {("c", "a"), ("b", "c"), ("c", "b")} and len(got) == 18
+    alone = {r["target_concept_dim"]: r["inspection_score"] for r in transfer.inspect(rows, "c", "b", example_k=3).collect()}
+    assert {r["target_concept_dim"]: r["inspection_score"] for r in got if r["source_key"] == "c" and r["target_key"] == "b"} == pytest.approx(alone)
+
+
 def test_diagnostics(spark):
     df = spark.createDataFrame([("k", [1.0, 0.0, 0.0], [1.0, 1.0, 0.0]), ("k", [0.0, -2.0, 0.0], [0.0, 2.0, 0.0])], "key string, z array<double>, z_dense array<double>")
     r = codes.diagnostics(df).first()
