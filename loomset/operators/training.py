@@ -139,19 +139,27 @@ def train_banks(vectors: DataFrame, dim: int, concepts: int = 64, topk: int = 8,
     return flat.groupBy("bank_id").applyInArrow(run, "bank_id string, epoch int, loss double, n_sets bigint")
 
 
-def bank_losses(vectors: DataFrame, dim: int, concepts: int = 64, topk: int = 8, views: int = 2, batch: int = 256, seed: int = 0) -> DataFrame:
-    """``bank_id, part, loss, n_batches``: the parts of the loss of a fresh model over all sets of a bank, as means of
-    the batches' values. Sets are batched by bank and hash, so a bank takes as many tasks as it has batches."""
-    ranked = vectors.withColumn("_v", F.row_number().over(W.partitionBy("bank_id", "set_idx").orderBy("view_idx"))).filter(F.col("_v") <= views)
-    sets = ranked.groupBy("bank_id", "set_idx").agg(F.array_sort(F.collect_list(F.struct("_v", F.col("hidden").cast("array<double>").alias("h")))).alias("vs")).filter(F.size("vs") == views)
-    sizes = sets.groupBy("bank_id").agg(F.ceil(F.count("*") / F.lit(batch)).alias("_n"))
-    parted = sets.join(sizes, "bank_id").select("bank_id", "set_idx", F.pmod(F.xxhash64("set_idx"), F.col("_n")).alias("_b"), F.flatten(F.transform("vs", lambda v: v["h"])).alias("x"))
+def bank_losses(vectors: DataFrame, dim: int, concepts: int = 64, topk: int = 8, sizes: tuple[int, ...] = (2, 4, 8), batch: int = 256, seed: int = 0) -> DataFrame:
+    """``bank_id, set_size, n_views, part, loss, n_batches, n_sets``: the parts of the loss of a fresh model over all sets
+    of a bank, as means of the batches' values, for each of ``sizes`` up to the bank's most views and for those. A
+    set counts by its first ``set_size`` views; sets with fewer are batched by the number they have, ``n_views``. Sets
+    are batched by hash too, so a bank takes as many tasks as it has batches."""
+    views = vectors.groupBy("bank_id", "set_idx").agg(F.array_sort(F.collect_list(F.struct("view_idx", F.col("hidden").cast("array<double>").alias("h")))).alias("vs"))
+    widest = views.groupBy("bank_id").agg(F.max(F.size("vs")).alias("_w"))
+    grid = F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s <= F.col("_w"))
+    each = views.join(widest, "bank_id").withColumn("set_size", F.explode(F.array_distinct(F.concat(grid, F.array("_w")))))
+    sets = each.select("bank_id", "set_size", "set_idx", F.slice("vs", 1, F.col("set_size")).alias("vs")).withColumn("n_views", F.size("vs"))
+    alike = ["bank_id", "set_size", "n_views"]
+    counts = sets.groupBy(*alike).agg(F.ceil(F.count("*") / F.lit(batch)).alias("_n"))
+    parted = sets.join(counts, alike).select(*alike, "set_idx", F.pmod(F.xxhash64("set_idx"), F.col("_n")).alias("_b"), F.flatten(F.transform("vs", lambda v: v["h"])).alias("x"))
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("set_idx")
-        x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, views, dim)
+        bank, size, n = (k.as_py() for k in key[:3])
+        x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, n, dim)
         parts = SetCoder(dim, concepts, topk, seed=seed).losses(x)
-        return pa.table({"bank_id": pa.array([key[0].as_py()] * len(parts)), "part": list(parts), "loss": list(parts.values())})
+        m = len(parts)
+        return pa.table({"bank_id": pa.array([bank] * m), "set_size": pa.array([size] * m, pa.int32()), "n_views": pa.array([n] * m, pa.int32()), "part": list(parts), "loss": list(parts.values()), "n": pa.array([len(x)] * m, pa.int64())})
 
-    got = parted.groupBy("bank_id", "_b").applyInArrow(run, "bank_id string, part string, loss double")
-    return got.groupBy("bank_id", "part").agg(F.avg("loss").alias("loss"), F.count("*").alias("n_batches"))
+    got = parted.groupBy(*alike, "_b").applyInArrow(run, "bank_id string, set_size int, n_views int, part string, loss double, n bigint")
+    return got.groupBy(*alike, "part").agg(F.avg("loss").alias("loss"), F.count("*").alias("n_batches"), F.sum("n").alias("n_sets"))

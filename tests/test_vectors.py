@@ -120,3 +120,14 @@ def test_losses_and_training(spark):
     rows = [("b", i, j, x[i, j].tolist()) for i in range(64) for j in range(4)]
     got = training.train_banks(spark.createDataFrame(rows, "bank_id string, set_idx bigint, view_idx bigint, hidden array<double>"), 6, 8, 3, epochs=4, views=3).orderBy("epoch").collect()
     assert [r["epoch"] for r in got] == [1, 2, 3, 4] and got[-1]["loss"] < got[0]["loss"] and got[0]["n_sets"] == 64
+
+
+def test_losses_of_all_set_sizes(spark):
+    x = rng.normal(size=(12, 8, 6))
+    has = {10: 3, 11: 1}
+    rows = [("b", i, j, x[i, j].tolist()) for i in range(12) for j in range(has.get(i, 8))]
+    got = training.bank_losses(spark.createDataFrame(rows, "bank_id string, set_idx bigint, view_idx bigint, hidden array<double>"), 6, 12, 4).collect()
+    n = {(r["set_size"], r["n_views"]): r["n_sets"] for r in got}
+    assert n == {(2, 2): 11, (2, 1): 1, (4, 4): 10, (4, 3): 1, (4, 1): 1, (8, 8): 10, (8, 3): 1, (8, 1): 1}
+    want = training.SetCoder(6, 12, 4).losses(x[:10])
+    assert {r["part"]: r["loss"] for r in got if r["n_views"] == 8} == pytest.approx(want)
