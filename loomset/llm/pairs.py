@@ -61,7 +61,7 @@ def is_empty(answer: str | None) -> bool:
 
 def is_refusal(answer: str) -> bool:
     s = LABEL.sub("", answer.replace("’", "'").replace("‘", "'")).lstrip(" \t\r\n\"'*_>-")
-    return REFUSAL.match(re.sub(r"\s+", " ", s[:600])) is not None
+    return REFUSAL.match(re.sub(r"\s+", " ", s)[:600]) is not None
 
 
 def tiles(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:

@@ -119,3 +119,7 @@ def test_fitting_does_not_depend_on_order():
     texts = corpus(3, 80)
     a, b = Model.fit(texts), Model.fit(texts[::-1])
     assert np.array_equal(a.weights, b.weights)
+
+
+def test_refusals_behind_blanks():
+    assert pairs.is_refusal("I" + " " * 700 + "cannot help with that request.")
