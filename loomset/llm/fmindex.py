@@ -20,8 +20,6 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions of ``text`` (its last symbol is 0) in the order of their suffixes."""
     n = len(text)
     pos_bits, sym_bits = max(1, int(n).bit_length()), max(1, int(text.max(initial=0)).bit_length())
-    if n > MAX_SYMBOLS:
-        raise ValueError(f"a shard holds at most {MAX_SYMBOLS} symbols")
     h = max(1, (63 - pos_bits) // sym_bits)
     h = min(h, 8)
     key = np.zeros(n, dtype=np.uint64)
@@ -50,12 +48,17 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         at = sa[rows]
         group = rank[at]
         nxt = rank[np.minimum(at + h, n - 1)]
-        order = np.sort((group.astype(np.uint64) << (bits + bits)) | (nxt.astype(np.uint64) << bits) | np.arange(len(rows), dtype=np.uint64))
-        pick = (order & low).astype(np.int64)
+        if n > MAX_SYMBOLS:  # three numbers do not fit into one
+            pick = np.lexsort((np.arange(len(rows)), nxt, group))
+            fresh = np.ones(len(rows), dtype=bool)
+            fresh[1:] = (group[pick][1:] != group[pick][:-1]) | (nxt[pick][1:] != nxt[pick][:-1])
+        else:
+            order = np.sort((group.astype(np.uint64) << (bits + bits)) | (nxt.astype(np.uint64) << bits) | np.arange(len(rows), dtype=np.uint64))
+            pick = (order & low).astype(np.int64)
+            pair = order >> bits
+            fresh = np.ones(len(rows), dtype=bool)
+            fresh[1:] = pair[1:] != pair[:-1]
         sa[rows] = at[pick]
-        pair = order >> bits
-        fresh = np.ones(len(rows), dtype=bool)
-        fresh[1:] = pair[1:] != pair[:-1]
         first = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))
         rank[sa[rows]] = rows[first]
         same = ~fresh

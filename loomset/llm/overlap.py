@@ -1,22 +1,28 @@
 """Problem 6: records of evaluation splits that are also, exactly or almost, in the training split.
 
-Texts of equal word sets form one class. Each class is written as the sequence of its meeting keys (``setsim``),
-parted by key into shards. Per shard the evaluation classes' sequences make a compressed full-text index, and
-the training classes' sequences are streamed through its backward search. The occurrences found are located
-and joined along diagonals to maximal matches, and the spans and counts of each pair of classes are merged.
-Similar sets share a key, so every pair that can reach the threshold has a match; bitmaps bound the overlap of
-the pairs that match, and exact intersection decides.
+The words of each text are laid on a circle in a fixed order, that of their hashes, so that texts in another order
+read alike. Evaluation texts are indexed so, as sequences of words, in shards of bounded size: a compressed
+full-text index for each, built in a task. A shard at a time is sent to all tasks, and the training texts, which are
+not shuffled, are streamed through backward search.
 
-A key that very many evaluation classes hold is salted over several shards, to each of which the training
-classes with that key go.
+Of two texts with similarity >= t, and o words in common out of a and b, the a + b - 2 o other words break the
+circle of common words into runs; o - (L - 1) (a + b - 2 o) runs of L neighbours at least are left whole, for
+L < 1 / (1 - t). The backward search gives how often every run of L = 1, 2, 3 .. words of a training text occurs in
+the shard, without locating any. Of each text the L is taken with which, all but that many of its most frequent runs
+left out, the fewest occurrences remain: this misses no similar text, and words that a third of all texts have cost
+nothing as long as a text has others. The occurrences are located by the sampled suffix positions and joined along
+diagonals to maximal matches; spans and counts are merged for each pair of texts. Sizes and hashed bitmaps bound
+the overlap, and exact intersection of the two sequences decides.
 
 Defined results: a record delivered several times counts once, by its last delivery; null and wordless texts
 overlap nothing; a record with several texts overlaps if one of them does; equal texts overlap; values of the
-split that are neither training nor evaluation take no part; empty tables give no rows.
+split that are neither training nor evaluation take no part; empty tables give no rows; texts are told apart by
+128 bits.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -27,12 +33,15 @@ from pyspark.sql import functions as F
 
 from loomset.llm import setsim
 from loomset.llm.fmindex import FMIndex, ranges
-from loomset.runtime import materialize, shuffle_parts
+from loomset.runtime import materialize
 
 #: How splits are named.
 TRAIN, EVALUATION = ("", "train"), ("validation", "dev", "labelled_dev", "test")
-SHARD_KEYS = 400_000
-SALT_KEYS = 100_000
+#: Words of evaluation texts in a shard: what is sent to a task has this bound, about 20 bytes a word.
+SHARD_WORDS = 1_000_000
+ROWS_AT_ONCE = 1 << 19
+#: Keys of copies that one task joins to its pairs.
+MEMBERS, HOT_TEXTS = 50_000, 100_000
 
 
 def side(split: Column) -> Column:
@@ -41,133 +50,229 @@ def side(split: Column) -> Column:
     return F.when(s.isin(*TRAIN), "t").when(s.isin(*EVALUATION), "e")
 
 
-class _Shard:
-    def __init__(self, t: Fraction):
-        self.t, self.pieces = t, []
-
-    def add(self, key: np.ndarray, cid: np.ndarray, n: np.ndarray, maps: np.ndarray) -> None:
-        """Evaluation rows in order of class and key."""
-        vocabulary = np.unique(key)
-        symbols, at, doc, first = _sequences(np.searchsorted(vocabulary, key) + 1, cid)
-        self.pieces.append((FMIndex(symbols), vocabulary, at, doc, cid[first], n[first], maps[first]))
-
-    def stream(self, key: np.ndarray, cid: np.ndarray, n: np.ndarray, maps: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        for index, vocabulary, _, e_doc, e_cid, e_n, e_maps in self.pieces:
-            place = np.minimum(np.searchsorted(vocabulary, key), len(vocabulary) - 1)
-            symbol = np.where(vocabulary[place] == key, place + 1, 0)
-            text, _, doc, first = _sequences(symbol, cid)
-            t_cid, t_n, t_maps = cid[first], n[first], maps[first]
-            known = np.flatnonzero(text)
-            lo, hi = index.search(text[known][:, None])
-            total = np.cumsum(hi - lo)
-            a = 0
-            while a < len(known):
-                z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 19), side="right")))
-                rows, of = ranges(lo[a:z], hi[a:z])
-                here, there = known[a:z][of], index.locate(rows)
-                x, y = doc[here], e_doc[there]
-                ok = setsim.may_reach(t_n[x], e_n[y], t_maps[x], e_maps[y], self.t)
-                here, there, x, y = here[ok], there[ok], x[ok], y[ok]
-                a = z
-                if len(x) == 0:
-                    continue
-                # occurrences that follow each other on a diagonal are one maximal match
-                order = np.lexsort((here, here - there, y, x))
-                here, there, x, y = here[order], there[order], x[order], y[order]
-                pair = np.ones(len(x), dtype=bool)
-                pair[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-                match = pair.copy()
-                match[1:] |= (here[1:] != here[:-1] + 1) | (there[1:] != there[:-1] + 1)
-                p = np.flatnonzero(pair)
-                yield t_cid[x[p]], e_cid[y[p]], np.add.reduceat(match.astype(np.int64), p), np.diff(np.append(p, len(x)))
-
-
-def _sequences(symbol: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences of equal cid, a 0 after each: text, positions of the symbols, sequence of each position, and
-    the first row of each sequence."""
-    new = np.ones(len(cid), dtype=bool)
-    new[1:] = cid[1:] != cid[:-1]
-    number = np.cumsum(new) - 1
-    at = np.arange(len(cid)) + number
-    text = np.zeros(len(cid) + (number[-1] + 1 if len(cid) else 0), dtype=np.int64)
-    text[at] = symbol
-    doc = np.zeros(len(text), dtype=np.int64)
-    doc[at] = number
-    return text, at, doc, np.flatnonzero(new)
-
-
-def _match_rows(t: Fraction):
-    names = ["t_cid", "e_cid", "n_spans", "n_keys"]
+def longest_run(t: Fraction) -> int:
+    """The greatest L < 1 / (1 - t): any two similar sets have a run of so many neighbours in common."""
+    return -(-1 // (1 - t)) - 1 if t < 1 else 4
+
+
+class Shard:
+    """Evaluation sets as circles of words in a full-text index. Each sequence ends with its first words again, so
+    that runs over the end of the circle are found."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, ids: np.ndarray, t: Fraction):
+        self.t, self.run = t, longest_run(t)
+        self.vocabulary, symbol = np.unique(flat, return_inverse=True)
+        symbol = symbol.astype(np.int64) + 1
+        over = np.minimum(self.run - 1, sizes)
+        e, k = setsim.expand(sizes + over + 1)
+        start = np.cumsum(sizes) - sizes
+        end = k == (sizes + over)[e]
+        text = np.where(end, 0, symbol[start[e] + np.where(end, 0, k % np.maximum(sizes, 1)[e])])
+        self.index = FMIndex(text)
+        self.begin = np.cumsum(sizes + over + 1) - (sizes + over + 1)  # of each sequence in the text
+        self.symbol, self.start, self.sizes, self.ids = symbol.astype(np.int32), start, sizes, ids
+        self.maps = setsim.bitmaps(flat, sizes)
+
+    def _runs(self, symbol: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) of the run of each length from each place, lengths x places."""
+        n = len(symbol)
+        start = (np.cumsum(sizes) - sizes)[of]
+        at = np.arange(n) - start
+        lo, hi = np.zeros((self.run, n), dtype=np.int64), np.zeros((self.run, n), dtype=np.int64)
+        for length in range(1, self.run + 1):
+            rows = np.flatnonzero((symbol > 0) & (length <= sizes[of]))
+            if length > 1:  # the run of one word less from the next place, with the word before it
+                nxt = start[rows] + (at[rows] + 1) % sizes[of[rows]]
+                rows, nxt = rows[hi[length - 2, nxt] > lo[length - 2, nxt]], nxt[hi[length - 2, nxt] > lo[length - 2, nxt]]
+                lo[length - 1, rows], hi[length - 1, rows] = self.index.extend(symbol[rows], lo[length - 2, nxt], hi[length - 2, nxt])
+            else:
+                lo[0, rows], hi[0, rows] = self.index.first[symbol[rows]], self.index.first[symbol[rows] + 1]
+        return lo, hi
+
+    def stream(self, flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For training sets: set, evaluation set, maximal matches and words in common, of each similar pair."""
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
+        symbol = np.where(self.vocabulary[place] == flat, place + 1, 0)
+        lo, hi = self._runs(symbol, of, sizes)
+        # what each length would cost each set
+        keep, cost = [], []
+        for length in range(1, self.run + 1):
+            count = hi[length - 1] - lo[length - 1]
+            need = setsim.least_common(sizes, self.t, length)
+            order = np.lexsort((count, of))
+            kept = np.zeros(len(of), dtype=bool)
+            kept[order] = setsim.place(of[order], sizes) <= (sizes - need)[of[order]]
+            keep.append(kept & (count > 0))
+            cost.append(np.where(length <= sizes, np.bincount(of[keep[-1]], count[keep[-1]], minlength=len(sizes)), np.inf))
+        best = np.argmin(np.stack(cost[::-1]), axis=0)  # the longest of equals
+        best = self.run - 1 - best
+        picked = [np.flatnonzero(k & (best[of] == i)) for i, k in enumerate(keep)]
+        where = np.concatenate(picked)
+        length = np.repeat(np.arange(1, self.run + 1), [len(x) for x in picked])
+        low, high = lo[length - 1, where], hi[length - 1, where]
+        order = np.argsort(where, kind="stable")
+        where, length, low, high = where[order], length[order], low[order], high[order]
+        maps = setsim.bitmaps(flat, sizes)
+        at = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+        total = np.cumsum(high - low)
+        ends = np.append(np.flatnonzero(of[where][1:] != of[where][:-1]) + 1, len(where))  # sets stay whole
+        a = 0
+        while a < len(where):
+            room = np.searchsorted(total, (total[a - 1] if a else 0) + ROWS_AT_ONCE, side="right")
+            z = ends[max(np.searchsorted(ends, room, side="right") - 1, np.searchsorted(ends, a, side="right"))]
+            parts = [self._matches(a, z, where, length, low, high, of, at, sizes, maps)] if total[z - 1] - (total[a - 1] if a else 0) <= 8 * ROWS_AT_ONCE else self._one_by_one(a, z, where, length, low, high, of, at, sizes, maps)
+            for got in parts:
+                x, y, spans = got
+                for b in range(0, len(x), 50_000):
+                    u, v, n = x[b : b + 50_000], y[b : b + 50_000], spans[b : b + 50_000]
+                    both = self._common(symbol, sizes, u, v)
+                    p, q = self.t.numerator, self.t.denominator
+                    ok = both * (p + q) >= (sizes[u] + self.sizes[v]) * p
+                    yield u[ok], self.ids[v[ok]], n[ok], both[ok]
+            a = z
+
+    def _one_by_one(self, a: int, z: int, where, length, low, high, *rest) -> Iterator[tuple[np.ndarray, ...]]:
+        """A set whose runs occur very often, a block of occurrences at a time; spans are those within blocks."""
+        seen = np.zeros(len(self.sizes), dtype=bool)
+        for i in range(a, z):
+            for b in range(low[i], high[i], ROWS_AT_ONCE):
+                x, y, n = self._matches(0, 1, where[i : i + 1], length[i : i + 1], np.array([b]), np.array([min(high[i], b + ROWS_AT_ONCE)]), *rest)
+                new = ~seen[y]
+                seen[y] = True
+                yield x[new], y[new], n[new]
+
+    def _matches(self, a: int, z: int, where, length, low, high, of, at, sizes, maps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of sets that may be similar and share a run, with the number of their maximal matches."""
+        rows, i = ranges(low[a:z], high[a:z])
+        i = i + a
+        there = self.index.locate(rows)
+        y = np.searchsorted(self.begin, there, side="right") - 1
+        x = of[where[i]]
+        n, m = sizes[x], self.sizes[y]
+        p, q = self.t.numerator, self.t.denominator
+        ok = (m * q >= n * p) & (n * q >= m * p)
+        i, there, x, y = i[ok], there[ok], x[ok], y[ok]
+        ok = setsim.may_reach(sizes[x], self.sizes[y], maps[x], self.maps[y], self.t)
+        i, there, x, y = i[ok], there[ok], x[ok], y[ok]
+        here, there = at[where[i]], (there - self.begin[y]) % self.sizes[y]
+        # runs that follow each other, or overlap, on a diagonal are one maximal match
+        diagonal = here - there
+        order = np.lexsort((here, diagonal, y, x))
+        x, y, here, diagonal, long = x[order], y[order], here[order], diagonal[order], length[i[order]]
+        pair = np.ones(len(x), dtype=bool)
+        pair[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        match = pair.copy()
+        match[1:] |= (diagonal[1:] != diagonal[:-1]) | (here[1:] > here[:-1] + long[:-1])
+        first = np.flatnonzero(pair)
+        spans = np.add.reduceat(match.astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64)
+        return x[first], y[first], spans
+
+    def _common(self, symbol: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many words the sets of each pair share, exactly."""
+        start = np.cumsum(sizes) - sizes
+        e, k = setsim.expand(sizes[x])
+        one = symbol[start[x][e] + k]
+        f, k = setsim.expand(self.sizes[y])
+        other = self.symbol[self.start[y][f] + k]
+        width = len(self.vocabulary) + 1
+        both = np.concatenate(((e * width + one)[one > 0], f * width + other))  # symbols are distinct within a set
+        both.sort()
+        return np.bincount(both[1:][both[1:] == both[:-1]] // width, minlength=len(x))
+
+
+def _build(t: Fraction):
+    """For applyInArrow over a shard's ``shard, cid, second, hashes``: its index, pickled."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        flat, sizes = setsim.lists(rows.column("hashes"))
+        ids = np.stack((rows.column("cid").to_numpy(), rows.column("second").to_numpy()), axis=1)
+        return pa.table({"shard": rows.column("shard").slice(0, 1), "data": pa.array([pickle.dumps(Shard(flat, sizes, ids, t))], pa.binary())})
+
+    return run
+
+
+MATCHES = "t_cid bigint, t_second bigint, e_cid bigint, e_second bigint, n_spans bigint, n_words bigint"
+
+
+def _stream_rows(index):
+    """For mapInArrow over ``cid, second, hashes`` of training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order of shard, side (evaluation first), class and key."""
-        held: list[list[np.ndarray]] = []
-        state = (None, None)
-        shard = _Shard(t)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if not held:
-                return
-            c = [np.concatenate(x) for x in zip(*held)]
-            held = []
-            maps = np.stack([x.view(np.uint64) for x in c[3:7]], axis=1)
-            if state[1] == "e":
-                shard.add(c[0], c[1], c[2].astype(np.int64), maps)
-            elif shard.pieces:
-                for got in shard.stream(c[0], c[1], c[2].astype(np.int64), maps):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=names)
-
-        for batch in batches:
-            shards, sides = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            columns = [batch.column(i).to_numpy() for i in range(2, 9)]
-            change = np.flatnonzero((shards[1:] != shards[:-1]) | (sides[1:] != sides[:-1])) + 1
-            for a, z in zip([0, *change.tolist()], [*change.tolist(), len(shards)]):
-                if a == z:
-                    continue
-                if (shards[a], sides[a]) != state or sum(len(x[0]) for x in held) > SHARD_KEYS:
-                    yield from flush()
-                    if shards[a] != state[0]:
-                        shard = _Shard(t)
-                    state = (shards[a], sides[a])
-                held.append([x[a:z] for x in columns])
-        yield from flush()
+        shard: Shard = pickle.loads(index.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, setsim.SETS_AT_ONCE):
+                batch = whole.slice(at, setsim.SETS_AT_ONCE)
+                ids = np.stack((batch.column(0).to_numpy(), batch.column(1).to_numpy()), axis=1)
+                _, first = np.unique(ids, axis=0, return_index=True)  # copies near each other go once
+                flat, sizes = setsim.lists(batch.column(2).take(pa.array(first)))
+                for x, e, spans, both in shard.stream(flat, sizes):
+                    if len(x):
+                        mine = ids[first[x]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (mine[:, 0], mine[:, 1], e[:, 0], e[:, 1], spans, both)], names=["t_cid", "t_second", "e_cid", "e_second", "n_spans", "n_words"])
 
     return run
 
 
-def matches(classes: DataFrame, t: Fraction, frequent: int = setsim.FREQUENT) -> DataFrame:
-    """``t_cid, e_cid, n_spans, n_keys`` of ``cid, hashes, t, e`` (whether it is in either split): for each
-    pair of classes that may be similar, its maximal matches and the keys in them, within a shard."""
-    spark = classes.sparkSession
-    counts = {"": setsim.bucket_counts(classes)}
-    rows = classes.select(F.lit("").alias("kind"), "cid", "hashes").mapInArrow(setsim.posting_rows(counts, t, frequent), setsim.POSTINGS)
-    sides = classes.select("cid", F.explode(F.array_compact(F.array(F.when(F.col("e"), "e"), F.when(F.col("t"), "t")))).alias("side"))
-    postings = materialize(rows.join(sides, "cid"), "postings")
-    evaluation = postings.filter("side = 'e'")
-    total = evaluation.count()
-    n_shards = max(shuffle_parts(spark), -(-total // SHARD_KEYS))
-    # at most 10,000 rows, whatever the input
-    heavy = evaluation.groupBy("key").count().filter(F.col("count") > max(SALT_KEYS, total // 10_000)).select("key", F.ceil(F.col("count") / SALT_KEYS).cast("int").alias("m"))
-    salted = postings.join(F.broadcast(heavy), "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
-    salt = F.when(F.col("side") == "e", F.array(F.pmod("cid", "m").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("m") - 1))
-    parted = salted.withColumn("salt", F.explode(salt)).withColumn("shard", F.pmod(F.when(F.col("m") > 1, F.xxhash64("key", "salt")).otherwise(F.xxhash64("key")), F.lit(n_shards)))
-    ordered = parted.select("shard", "side", "key", "cid", "n", "b0", "b1", "b2", "b3").repartition("shard").sortWithinPartitions("shard", "side", "cid", "key")
-    return ordered.mapInArrow(_match_rows(t), "t_cid bigint, e_cid bigint, n_spans bigint, n_keys bigint")
-
-
-def cross_split(records: DataFrame, threshold: float = 0.7, frequent: int = setsim.FREQUENT) -> DataFrame:
-    """``train_key, eval_key`` of ``key, side, text``: each training record with each evaluation record of which
-    some text has word similarity >= threshold with some text of its own."""
-    t = Fraction(str(threshold))
+def matches(rows: DataFrame, t: Fraction, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``t_cid, t_second, e_cid, e_second, n_spans, n_words`` of ``side, cid, second, hashes``: each pair of a
+    training and an evaluation text that are similar, each once, with its maximal matches (of the runs looked
+    for) and the words in common. One pass over the training texts for each shard of evaluation texts."""
+    spark = rows.sparkSession
+    texts = rows.filter("side = 'e'").groupBy("cid", "second").agg(F.first("hashes").alias("hashes"))
+    texts = materialize(texts, "evaluation")
+    words = texts.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    if words == 0:
+        return spark.createDataFrame([], MATCHES)
+    n_shards = -(-words // shard_words)
+    placed = texts.select(F.pmod(F.xxhash64("cid"), F.lit(n_shards)).cast("int").alias("shard"), "cid", "second", "hashes")
+    built = materialize(placed.groupBy("shard").applyInArrow(_build(t), "shard int, data binary"), "index")
+    training = rows.filter("side = 't'").select("cid", "second", "hashes")
+    found = None
+    for r in range(n_shards):
+        data = built.filter(F.col("shard") == r).select("data").collect()  # one shard, of bounded size
+        if not data:
+            continue
+        index = spark.sparkContext.broadcast(bytes(data[0][0]))
+        part = materialize(training.mapInArrow(_stream_rows(index), MATCHES), "matches")
+        index.destroy()
+        found = part if found is None else found.unionByName(part)
+    pair = ["t_cid", "t_second", "e_cid", "e_second"]
+    return found.groupBy(*pair).agg(F.max("n_spans").alias("n_spans"), F.max("n_words").alias("n_words"))
+
+
+def split_texts(records: DataFrame) -> DataFrame:
+    """``key, side, cid, second, hashes`` of ``key, side, text``: the texts with a word that are in a split."""
     rows = records.filter("key is not null and side is not null").select("key", "side", setsim.word_hashes(F.col("text")).alias("hashes")).filter(F.size("hashes") > 0)
-    rows = materialize(rows.select("key", "side", F.xxhash64("hashes").alias("cid"), "hashes"), "words")
-    classes = materialize(rows.groupBy("cid").agg(F.first("hashes").alias("hashes"), F.max(F.col("side") == "t").alias("t"), F.max(F.col("side") == "e").alias("e")), "classes")
-    found = matches(classes, t, frequent).select("t_cid", "e_cid").filter("t_cid <> e_cid").distinct()
-    one = classes.select(F.col("cid").alias("t_cid"), F.col("hashes").alias("x"))
-    other = classes.select(F.col("cid").alias("e_cid"), F.col("hashes").alias("y"))
-    near = found.join(one, "t_cid").join(other, "e_cid").filter(setsim.similar(F.col("x"), F.col("y"), t)).select("t_cid", "e_cid")
-    pairs = near.unionByName(classes.filter("t and e").select(F.col("cid").alias("t_cid"), F.col("cid").alias("e_cid")))
-    train = rows.filter("side = 't'").select(F.col("cid").alias("t_cid"), F.col("key").alias("train_key")).distinct()
-    evaluation = rows.filter("side = 'e'").select(F.col("cid").alias("e_cid"), F.col("key").alias("eval_key")).distinct()
-    return pairs.join(train, "t_cid").join(evaluation, "e_cid").select("train_key", "eval_key").distinct()
+    return materialize(rows.select("key", "side", F.xxhash64("hashes").alias("cid"), F.xxhash64(F.lit("second"), "hashes").alias("second"), "hashes"), "words")
+
+
+def cross_split(records: DataFrame, threshold: float = 0.7, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``train_key, eval_key`` of ``key, side, text``: each training record with each evaluation record of which
+    some text has word similarity >= threshold with some text of its own. Texts that very many records of one side
+    have are salted where they are joined to their records."""
+    rows = split_texts(records)
+    pairs = materialize(matches(rows, Fraction(str(threshold)), shard_words).drop("n_spans", "n_words"), "pairs")
+    keys = rows.select("side", "cid", "second", "key")
+    by = ["side", "cid", "second"]
+    total = keys.count()
+    hot = keys.groupBy(*by).count().filter(F.col("count") > max(MEMBERS, total // HOT_TEXTS)).select(*by, F.ceil(F.col("count") / F.lit(MEMBERS)).cast("int").alias("parts"))
+
+    def named(pairs: DataFrame, which: str, name: str) -> DataFrame:
+        by = [f"{which}_cid", f"{which}_second"]
+        large = F.broadcast(hot.filter(F.col("side") == which).select(F.col("cid").alias(by[0]), F.col("second").alias(by[1]), "parts"))  # at most HOT_TEXTS rows
+        mine = keys.filter(F.col("side") == which).select(F.col("cid").alias(by[0]), F.col("second").alias(by[1]), F.col("key").alias(name)).distinct()
+        n = F.coalesce("parts", F.lit(1))
+        spread = mine.join(large, by, "left").withColumn("part", F.pmod(F.xxhash64(name), n).cast("int")).drop("parts")
+        return pairs.join(large, by, "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts").join(spread, [*by, "part"]).drop("part")
+
+    return named(named(pairs, "t", "train_key"), "e", "eval_key").select("train_key", "eval_key").distinct()
+
+
+def overlapping(records: DataFrame, threshold: float = 0.7, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``key, n_spans, n_words``, a row for each evaluation record with a similar training text: its maximal
+    matches and words in common with the training text it has most in common with. No pairs of records are made."""
+    rows = split_texts(records)
+    pairs = matches(rows, Fraction(str(threshold)), shard_words)
+    best = pairs.groupBy("e_cid", "e_second").agg(F.max(F.struct("n_words", "n_spans")).alias("p")).select(F.col("e_cid").alias("cid"), F.col("e_second").alias("second"), "p.n_spans", "p.n_words")
+    return rows.filter("side = 'e'").select("key", "cid", "second").join(best, ["cid", "second"]).groupBy("key").agg(F.max(F.struct("n_words", "n_spans")).alias("p")).select("key", "p.n_spans", "p.n_words")

@@ -14,12 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News by text, and semantic sets by all their texts together."""
-    news = latest(table(spark, sf_dir, "news_row").select("id", "fetched_at", "text"), "id", "fetched_at", "text")
-    sets = latest(table(spark, sf_dir, "semantic_set_view").select("original_id", "built_at", "texts"), "original_id", "built_at", "texts")
-    return news.select(F.lit("news").alias("kind"), F.col("id").alias("key"), "text").unionByName(
-        sets.select(F.lit("set").alias("kind"), F.col("original_id").alias("key"), F.array_join("texts", "\n").alias("text"))
-    )
+    """News by text, and semantic sets by all their texts together, every delivery."""
+    news = table(spark, sf_dir, "news_row").select(F.lit("news").alias("kind"), F.col("id").alias("key"), F.col("fetched_at").alias("at"), "text")
+    sets = table(spark, sf_dir, "semantic_set_view").select(F.lit("set").alias("kind"), F.col("original_id").alias("key"), F.col("built_at").alias("at"), F.array_join("texts", "\n").alias("text"))
+    return news.unionByName(sets)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +126,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation records by split and source, and how many of them are in training too."""
     texts = _split_texts(spark, sf_dir)
-    found = overlap.cross_split(texts.select("key", "side", "text"), 0.7).select(F.col("eval_key").alias("key")).distinct().withColumn("hit", F.lit(1))
+    found = overlap.overlapping(texts.select("key", "side", "text"), 0.7).select("key", F.lit(1).alias("hit"))
     records = texts.filter("side = 'e'").select("key", "split", "source").distinct()
     return records.join(found, "key", "left").groupBy("split", "source").agg(F.count("*").alias("n_records"), F.count("hit").alias("n_overlapping"))
 
 
+def p6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, n_spans, n_words`` of every evaluation record that is in training too."""
+    return overlap.overlapping(_split_texts(spark, sf_dir).select("key", "side", "text"), 0.7)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, sf_dir, "activation_bank"))
 
@@ -162,7 +165,7 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p5_collapsed, p6_found, p6_report, p7_found, p7_lists, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p5_collapsed, p6_found, p6_report, p6_spans, p7_found, p7_lists, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,15 +1,21 @@
-"""Word sets for similarity joins: sets as sorted arrays of 64-bit word hashes, a global order of words by
-frequency, and the keys under which sets must meet.
-
-Two sets of Jaccard similarity >= t and sizes up to n have at least ceil(t n) words in common. With the words
-of each set in one global order, rare ones first, their first l common words stand among the first
-n - ceil(t n) + l words of either. A set therefore gives, for each word among the first of these, a key; where
-the word is frequent, a key for each second common word; where both are, one for each third. Whether a word or
-pair is frequent depends on the whole collection alone, so two similar sets always meet under the key of their
-first common words, and no key gathers a large part of the collection.
-
-Words are told apart by their 64-bit hash. Frequencies are counted over all sets, in a fixed number of hashed
-buckets: that bounds what is sent to tasks; words that share a bucket only get a less exact place in the order.
+"""Word sets for similarity joins: sets as sorted arrays of 64-bit word hashes, and the keys under which sets must
+meet.
+
+Two sets of sizes a and b with Jaccard similarity >= t > 1/2 have o >= t (a + b) / (1 + t) words in common and
+a + b - 2 o that are not.
+
+* Rare words. With the words of each set in one global order, rare ones first, the first common word stands among
+  the first a - ceil(t a) + 1 of either. A set gives a key for each of these that is rare.
+* Frequent words. If a set has r rare words and all of them gave keys, a partner that met under none has only
+  frequent words in common with it. Put the frequent words of a set on a circle, in order of their hashes: of the
+  o neighbouring pairs of common words every other word breaks at most one, so at least 3 o - a - b + r pairs of
+  neighbours are on both circles, and the rarest of these is among the others less that many, plus one. A set gives
+  a key for each of its rarest pairs of neighbours up to that number.
+
+A set of n words gives at most (0.6 n + 1) keys at t = 0.7, whatever the collection holds: keys grow with the
+length of a text and not with its square. What is frequent follows from counts of all sets in a fixed number of
+hashed buckets, which bounds what is sent to tasks; it is relative to the mean bucket, so it means the same at every
+size. Words that share a bucket only get a less exact place in the order.
 """
 
 from __future__ import annotations
@@ -25,15 +31,18 @@ from pyspark.sql import functions as F
 from loomset.runtime import words
 
 BUCKETS = 1 << 18
-#: A word or pair of words in more sets than this is made longer.
+#: A word is frequent if its bucket counts more sets than this, and more than LOADED times the mean bucket.
 FREQUENT = 1_000
+LOADED = 4
+#: Sets whose keys are made at once.
+SETS_AT_ONCE = 2_000
 
 _U = np.uint64
 
 
 def word_hashes(text: Column) -> Column:
     """The distinct words of a text as sorted 64-bit hashes; null for a null text."""
-    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(words(text)), lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(F.array_distinct(words(text)), lambda w: F.xxhash64(w))))
 
 
 def bucket_counts(sets: DataFrame, hashes: str = "hashes") -> tuple[np.ndarray, int]:
@@ -58,30 +67,62 @@ def expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def least_common(sizes: np.ndarray, t: Fraction, run: int = 1) -> np.ndarray:
+    """How many runs of ``run`` neighbours on its circle a set has in common with any set similar to it, at least:
+    o - (run - 1) (a + b - 2 o), for the smallest partner. No bound (0 or less) where run >= 1 / (1 - t)."""
+    p, q = t.numerator, t.denominator
+    both = sizes + -(-sizes * p // q)
+    return -(-both * (run * p - (run - 1) * q) // (p + q))
+
+
+def may_differ(sizes: np.ndarray, t: Fraction) -> np.ndarray:
+    """Whether a set of this size can be similar to one that is not its equal."""
+    p, q = t.numerator, t.denominator
+    return (sizes * q >= (sizes + 1) * p) | ((sizes - 1) * q >= sizes * p)
+
+
+def place(of: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The place of each entry within its set, for entries in order of their sets."""
+    return np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+
+
 def meeting_keys(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, n_sets: int, t: Fraction, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Set number and key (uint64) of every key of the sets, whose hashes stand one after another in ``flat``."""
-    of = np.repeat(np.arange(len(sizes)), sizes)
+    if 2 * t <= 1:
+        raise ValueError("the similarity must be over 1/2")
+    live, of = may_differ(sizes, t), np.repeat(np.arange(len(sizes)), sizes)
+    flat, of, sizes = flat[live[of]], of[live[of]], np.where(live, sizes, 0)
+    postings = int(counts.sum())
+    limit = max(frequent, LOADED * postings // BUCKETS)
     df = counts[flat.astype(np.int64) % BUCKETS]
-    order = np.lexsort((flat, df, of))
-    word, df = flat[order].astype(_U), df[order]
-    starts = np.cumsum(sizes) - sizes
-    least = -(-sizes * t.numerator // t.denominator)  # words that a similar set has in common
-    spare = sizes - least
-    i_of, i_pos = expand(np.where(sizes >= 3, spare + 1, 0))  # smaller sets are like their equals only
-    at = starts[i_of] + i_pos
-    hot = df[at] > frequent
-    owners, keys = [i_of[~hot]], [mix(word[at[~hot]], np.full((~hot).sum(), 1))]
-    i_of, i_pos, at = i_of[hot], i_pos[hot], at[hot]
-    e, k = expand(np.maximum(spare[i_of] + 2 - i_pos - 1, 0))
-    j_of, j_pos, a, b = i_of[e], i_pos[e] + 1 + k, at[e], at[e] + 1 + k
-    hot = df[a] * (df[b] / max(1, n_sets)) > frequent
-    owners.append(j_of[~hot])
-    keys.append(mix(mix(word[a[~hot]], word[b[~hot]]), np.full((~hot).sum(), 2)))
-    j_of, j_pos, a, b = j_of[hot], j_pos[hot], a[hot], b[hot]
-    e, k = expand(np.maximum(spare[j_of] + 3 - j_pos - 1, 0))
-    c = b[e] + 1 + k
-    owners.append(j_of[e])
-    keys.append(mix(mix(mix(word[a[e]], word[b[e]]), word[c]), np.full(len(e), 3)))
+    hot = df > limit
+    rare = np.bincount(of[~hot], minlength=len(sizes))
+    spare = sizes + (-sizes * t.numerator // t.denominator)
+    # rare words, the rarest first
+    word, home, seen = flat[~hot], of[~hot], df[~hot]
+    order = np.lexsort((word, seen, home))
+    word, home = word[order], home[order]
+    first = place(home, rare) <= spare[home]
+    owners, keys = [home[first]], [mix(word[first], np.full(first.sum(), 1))]
+    # neighbours on the circle of frequent words
+    several = np.where(rare <= spare, sizes - rare, 0)
+    want = several - (least_common(sizes, t, 2) + rare) + 1
+    pick = hot & (several[of] > 0) & (want[of] > 0)
+    word, home, seen = flat[pick], of[pick], df[pick]
+    order = np.lexsort((word, home))
+    word, home, seen = word[order].astype(_U), home[order], np.log(seen[order])
+    n = np.bincount(home, minlength=len(sizes))
+    start = np.cumsum(n) - n
+    nxt = np.arange(len(word)) + 1
+    end = start + n
+    nxt = np.where(nxt == end[home], start[home], nxt)
+    gap = (word[nxt] - word).astype(np.float64) / 2.0**64
+    weight = seen + seen[nxt] - gap * (postings / max(1, n_sets))  # how often both are there with nothing between
+    pair = mix(mix(word, word[nxt]), np.full(len(word), 2))
+    order = np.lexsort((pair, weight, home))
+    kept = order[place(home[order], n) < want[home[order]]]
+    owners.append(home[kept])
+    keys.append(pair[kept])
     return np.concatenate(owners), np.concatenate(keys)
 
 
@@ -103,35 +144,25 @@ def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), sizes
 
 
-def posting_rows(counts: dict[str, tuple[np.ndarray, int]], t: Fraction, frequent: int = FREQUENT):
-    """For mapInArrow over ``kind, cid, hashes``: ``key, cid, n, b0, b1, b2, b3``, a row for each key. Kinds
-    never meet."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                kinds = np.array(batch.column(0).to_pylist(), dtype=object)
-                flat_all, sizes_all = lists(batch.column(2))
-                cid = batch.column(1).to_numpy()
-                ends = np.cumsum(sizes_all)
-                for number, kind in enumerate(sorted(counts)):
-                    pick = np.flatnonzero(kinds == kind)
-                    if len(pick) == 0:
-                        continue
-                    sizes = sizes_all[pick]
-                    e, k = expand(sizes)
-                    flat = flat_all[(ends[pick] - sizes)[e] + k]
-                    owner, key = meeting_keys(flat, sizes, *counts[kind], t, frequent)
-                    key = mix(key, np.full(len(key), number + 11))
-                    maps = bitmaps(flat, sizes).view(np.int64)
-                    columns = [key.view(np.int64), cid[pick][owner], sizes[owner].astype(np.int32), *(maps[owner, c] for c in range(4))]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["key", "cid", "n", "b0", "b1", "b2", "b3"])
-
-    return run
-
-
-POSTINGS = "key bigint, cid bigint, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+def keyed_sets(batches: Iterator[pa.RecordBatch], counts: dict[str, tuple[np.ndarray, int]], t: Fraction, frequent: int):
+    """Of batches of ``kind, cid, hashes``, for some sets at a time: their cids, hashes and sizes, and the set and
+    key of each of their keys. Kinds never meet."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SETS_AT_ONCE):
+            batch = whole.slice(at, SETS_AT_ONCE)
+            kinds = np.array(batch.column(0).to_pylist(), dtype=object)
+            flat_all, sizes_all = lists(batch.column(2))
+            cid = batch.column(1).to_numpy()
+            ends = np.cumsum(sizes_all)
+            for number, kind in enumerate(sorted(counts)):
+                pick = np.flatnonzero(kinds == kind)
+                if len(pick) == 0:
+                    continue
+                sizes = sizes_all[pick]
+                e, k = expand(sizes)
+                flat = flat_all[(ends[pick] - sizes)[e] + k]
+                owner, key = meeting_keys(flat, sizes, *counts[kind], t, frequent)
+                yield cid[pick], flat, sizes, owner, mix(key, np.full(len(key), number + 11))
 
 
 def may_reach(n_a: np.ndarray, n_b: np.ndarray, maps_a: np.ndarray, maps_b: np.ndarray, t: Fraction) -> np.ndarray:

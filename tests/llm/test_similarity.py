@@ -101,11 +101,11 @@ def test_other_columns_and_empty_tables(spark):
     assert splits.assign_splits(spark.createDataFrame([], "kind string, rec_key string, sources array<string>")).count() == 0
 
 
-@pytest.mark.parametrize("seed, frequent", [(5, 200), (6, 2)])
-def test_cross_split_overlaps(spark, seed, frequent):
+@pytest.mark.parametrize("seed, shard_words", [(5, 1_000_000), (6, 150)])
+def test_cross_split_overlaps(spark, seed, shard_words):
     r = random.Random(seed)
     rows = [(f"k{r.randrange(70)}" if side != "e" else f"e{r.randrange(50)}", side, t) for (_, _, t), side in ((x, r.choice(["t", "t", "e", None])) for x in make(seed, 120))]
-    got = [tuple(x) for x in overlap.cross_split(spark.createDataFrame(rows, "key string, side string, text string"), 0.7, frequent).collect()]
+    got = [tuple(x) for x in overlap.cross_split(spark.createDataFrame(rows, "key string, side string, text string"), 0.7, shard_words).collect()]
     s = [(k, side, frozenset(WORDS((t or "").lower()))) for k, side, t in rows if side]
     want = {(a, b) for a, x, v in s for b, y, w in s if x == "t" and y == "e" and v and w and len(v & w) / len(v | w) >= 0.7}
     assert len(got) == len(set(got)) and set(got) == want
@@ -200,3 +200,73 @@ def test_subset_sums_of_many_small_groups():
     for sizes, target in (({3: 4_000_000}, 1_200_000), ({3: 2_000_000, 5: 700_000, 7: 300_001}, 1_160_001)):
         taken = splits.closest_counts(sizes, target)
         assert all(k <= sizes[s] for s, k in taken.items()) and sum(s * k for s, k in taken.items()) == target
+
+
+def test_keys_grow_with_the_length_of_a_text():
+    rng = np.random.default_rng(3)
+    for load in (0, 1_000, 10**9):  # of every bucket: even where all words are frequent
+        counts = np.full(setsim.BUCKETS, load)
+        for n in (100, 300, 3_000):
+            owner, key = setsim.meeting_keys(np.sort(rng.integers(-(1 << 62), 1 << 62, n)), np.array([n]), counts, 10**6, Fraction(8, 10), 1_000)
+            assert len(key) <= 0.4 * n + 2
+
+
+def test_edits_in_sets_of_frequent_words():
+    rng, t = np.random.default_rng(7), Fraction(7, 10)
+    words = rng.integers(-(1 << 62), 1 << 62, 60)
+    counts = np.zeros(setsim.BUCKETS, dtype=np.int64)
+    counts[words % setsim.BUCKETS] = rng.integers(0, 9, 60) * 100_000
+    met = 0
+    for _ in range(2_000):
+        x = np.sort(rng.choice(words, int(rng.integers(1, 40)), replace=False))
+        y = np.sort(np.unique(np.concatenate((x[rng.random(len(x)) > 0.12], rng.choice(words, int(rng.integers(0, 4)))))))
+        if len(y) and len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.7 and not np.array_equal(x, y):
+            owner, key = setsim.meeting_keys(np.concatenate((x, y)), np.array([len(x), len(y)]), counts, 1000, t, 1000)
+            assert set(key[owner == 0]) & set(key[owner == 1])
+            met += 1
+    assert met > 300
+
+
+def test_a_key_in_a_third_of_the_sets_is_parted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE_GROUP", 50)
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(neardup)
+    try:
+        r = random.Random(8)
+        rows = [("n", f"k{i:03d}", " ".join(["hot", "words", "all", "have", "in", "common", *(f"w{r.randrange(6)}" for _ in range(2))]) if i % 3 == 0 else f"a{i} b{r.randrange(9)} c{r.randrange(9)} d") for i in range(400)]
+        df = spark.createDataFrame(rows, RECORD)
+        _, classes = neardup.word_classes(df)
+        counts = {"n": setsim.bucket_counts(classes)}
+        got = {tuple(x) for x in near_duplicates(df, 0.7, 3).collect()}
+        hot = neardup.hot_keys(classes.select("kind", "cid", "hashes"), counts, Fraction(7, 10), 3)
+    finally:
+        cloudpickle.unregister_pickle_by_value(neardup)
+    assert got == brute(rows, 0.7) and (hot[1] > 50).all()
+
+
+def test_deliveries_count_by_the_last(spark):
+    rows = [("n", "a", 1, "one two three"), ("n", "a", 2, "four five six"), ("n", "b", 1, "six five four"), ("n", "c", 1, "one two three"), ("n", "c", 2, None), ("n", "d", 1, "three two one"), ("n", "d", 1, "three two one")]
+    df = spark.createDataFrame(rows, "kind string, key string, at int, text string")
+    assert [tuple(x) for x in near_duplicates(df).collect()] == [("n", "a", "b")]
+
+
+def test_runs_that_all_similar_sets_share():
+    assert [overlap.longest_run(Fraction(x, 100)) for x in (70, 75, 80, 90)] == [3, 3, 4, 9]
+    rng, t = np.random.default_rng(2), Fraction(7, 10)
+    words = rng.integers(-(1 << 62), 1 << 62, 80)
+    sets = [np.sort(rng.choice(words, int(rng.integers(1, 25)), replace=False)) for _ in range(60)]
+    sets += [np.sort(np.unique(np.append(s[rng.random(len(s)) > 0.1], rng.choice(words, 2)))) for s in sets[:50]]
+    ids = np.stack((np.arange(len(sets)), np.arange(len(sets))), axis=1)
+    sizes = np.array([len(s) for s in sets])
+    shard = overlap.Shard(np.concatenate(sets), sizes, ids, t)
+    got = {(int(x), int(y)): int(n) for a, b, _, both in shard.stream(np.concatenate(sets), sizes) for x, y, n in zip(a, b[:, 0], both)}
+    want = {(i, j): len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.7}
+    assert got == want
+
+
+def test_records_that_overlap(spark):
+    rows = [("t1", "t", "one two three four five six"), ("e1", "e", "six five four three two one zero"), ("e2", "e", "something else here"), ("e1", "e", "one two three four five six"), ("e3", "e", None)]
+    df = spark.createDataFrame(rows, "key string, side string, text string")
+    assert [tuple(x) for x in overlap.overlapping(df).collect()] == [("e1", 1, 6)]
