@@ -3,15 +3,19 @@
 1. Anchors. Of every stretch of ``min_chars`` code points the phrase of ``phrase_chars`` with the least hash is
    kept (winnowing), so documents that share such a stretch keep the same phrase inside it. Each document
    keeps about two phrases for each stretch length; no stretch is left out.
-2. Recurring phrases: those that more than one document keeps, counted with map-side combining.
-3. Around every occurrence of a recurring phrase its document gives a segment: the phrase and as much text on
-   either side as a stretch can reach. Segments are shuffled by phrase.
-4. Each task compiles Aho-Corasick automata over blocks of its phrases and streams its segments through
-   them; an occurrence counts only where the automaton confirms the phrase as text. Occurrences of a phrase
-   are then compared to the left and right: equal segments once, others only if they agree over half the
-   distance on one side, as any shared stretch must.
-
-Whole texts that are equal are collapsed before step 2 and stand for all their copies again in the pairs.
+2. Recurring phrases: those that more than one document keeps, counted with map-side combining. A phrase goes, once,
+   to every shard of documents in which one keeps it.
+3. Each task compiles the recurring phrases of a shard of documents into an Aho-Corasick automaton and streams all
+   documents of the shard through it. The automaton locates every occurrence; the hashes only say which phrases a
+   shard needs. An automaton holds no more phrases than its shard has anchors, so shards bound its size.
+4. Around every occurrence stands its context: the phrase and as much text on either side as a stretch can reach.
+   Equal contexts form one class, with the places that have it. The classes of a phrase are compared to the left and
+   right: equal ones once, others only if they agree over half the distance on one side, as any shared stretch
+   must. A phrase with very many occurrences is parted by the windows around it; what still has very many classes
+   is compared in pairs of blocks, so no task holds an unbounded group.
+
+Whole texts that are equal are collapsed before step 2 and stand for all their copies again in the pairs. How much of
+a document is shared follows from the classes alone, without pairs of documents.
 
 Defined results: null, empty and short texts (under ``min_chars``) share nothing; a stretch repeated inside one
 document is no pair; copies are pairs; text counts verbatim, case, blanks and line ends included; further
@@ -33,8 +37,11 @@ from loomset.runtime import materialize
 
 MIN_CHARS, PHRASE_CHARS = 320, 64
 BATCH_CHARS = 1 << 22  # code points hashed at once; a longer document is hashed alone
-BLOCK_PHRASES = 2_000
-#: A phrase with more occurrences is parted by the text around it; see ``_segment_rows``.
+#: Code points of documents in a shard, about; one automaton is compiled for each.
+SHARD_CHARS = 2_000_000
+#: Contexts of a key that are compared in place, and at most how many keys can be too large.
+GROUP, HOT_KEYS = 20_000, 100_000
+#: A phrase with more occurrences is parted by the text around it; see ``_locate``.
 HOT_PHRASE, HOT_STEP = 2_000, 16
 
 _U = np.uint64
@@ -121,34 +128,49 @@ def _anchor_rows(min_chars: int, k: int):
     return run
 
 
-def _segment_rows(min_chars: int, k: int):
-    """Segments by the key under which they meet: the phrase's hash. A phrase with very many occurrences is
-    parted instead by the windows around it, at every HOT_STEP-th place, that a shared stretch must hold
-    whole, so only documents that agree over nearly ``min_chars`` meet, and no group grows with the phrase."""
+def _locate(min_chars: int, k: int):
+    """For cogrouped shards, documents ``shard, doc, text`` and phrases ``shard, h, doc, pos, n`` (h null: a copy, to be
+    passed over): the contexts of all occurrences of the phrases in the documents, by the key under which they meet:
+    the phrase's hash or, for a phrase with very many occurrences, the windows around it, at every HOT_STEP-th place,
+    that a shared stretch must hold whole, so only documents that agree over nearly ``min_chars`` meet."""
+    import ahocorasick
+
     reach = min_chars - k
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hs, docs, poss, offs, segs = [], [], [], [], []
-            for doc, text, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for one in found:
-                    pos = one["pos"]
-                    a = max(0, pos - reach)
-                    seg, off = text[a : pos + k + reach], pos - a
-                    keys = [one["h"]]
-                    if one["n"] > HOT_PHRASE:
-                        keys = [hash64(f"{one['h']} {b} {seg[off - b : off - b + min_chars - HOT_STEP]}") for b in range(0, min(off, reach) + 1, HOT_STEP) if len(seg) - off + b >= min_chars - HOT_STEP]
+    def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
+        h, home, pos, n = (phrases.column(c).to_pylist() for c in ("h", "doc", "pos", "n"))
+        skip = {d for x, d in zip(h, home) if x is None}
+        texts = {d: t for d, t in zip(docs.column("doc").to_pylist(), docs.column("text").to_pylist()) if d not in skip}
+        automaton = ahocorasick.Automaton()
+        for x, d, at, many in zip(h, home, pos, n):
+            if x is not None:
+                automaton.add_word(texts[d][at : at + k], (x, many > HOT_PHRASE))
+        found: dict[tuple[int, int, str], list[tuple[int, int]]] = defaultdict(list)
+        if len(automaton):
+            automaton.make_automaton()
+            for doc, text in texts.items():
+                for end, (x, hot) in automaton.iter(text):
+                    at = end - k + 1
+                    a = max(0, at - reach)
+                    seg, off = text[a : at + k + reach], at - a
+                    if len(seg) < min_chars:
+                        continue
+                    keys = [x]
+                    if hot:
+                        keys = [hash64(f"{x} {b} {seg[off - b : off - b + min_chars - HOT_STEP]}") for b in range(0, min(off, reach) + 1, HOT_STEP) if len(seg) - off + b >= min_chars - HOT_STEP]
                     for key in keys:
-                        hs.append(key)
-                        docs.append(doc)
-                        poss.append(pos)
-                        offs.append(off)
-                        segs.append(seg)
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(docs, pa.int64()), pa.array(poss, pa.int32()), pa.array(offs, pa.int32()), pa.array(segs, pa.string())], names=["h", "doc", "pos", "off", "seg"])
+                        found[key, off, seg].append((doc, at))
+        return pa.table({
+            "key": pa.array([x[0] for x in found], pa.int64()), "off": pa.array([x[1] for x in found], pa.int32()), "seg": pa.array([x[2] for x in found], pa.string()),
+            "docs": pa.array([[d for d, _ in x] for x in found.values()], pa.list_(pa.int64())), "at": pa.array([[p for _, p in x] for x in found.values()], pa.list_(pa.int32())),
+        })
 
     return run
 
 
+CONTEXTS = "key bigint, off int, seg string, docs array<bigint>, at array<int>"
+
+
 def _sides(segs: list[str], offs: list[int], k: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What stands left of the phrase, from it outwards, and right of it, as padded matrices with lengths."""
     n = len(segs)
@@ -197,102 +219,111 @@ def _class_pairs(segs: list[str], offs: list[int], min_chars: int, k: int) -> It
                 yield i, part[ok], l[ok], r[ok]
 
 
-def _shared_rows(min_chars: int, k: int):
-    import ahocorasick
-
-    names = ["doc_a", "doc_b", "start_a", "start_b", "n_chars"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    reach = min_chars - k
-
-    def compare(rows: list[tuple[int, int, int, str]]) -> Iterator[pa.RecordBatch]:
-        """rows: doc, pos, off, seg of one confirmed phrase."""
-        classes: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
-        for doc, pos, off, seg in rows:
-            classes[off, seg].append((doc, pos))
-        keys = list(classes)
-        members = [np.array(classes[x], dtype=np.int64) for x in keys]
-
-        def product(i: int, j: int, l: int, r: int) -> pa.RecordBatch | None:
-            a, b = members[i], members[j]
-            if i == j:
-                p, q = np.triu_indices(len(a), 1)
-            else:
-                p, q = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
-            p, q = a[p], b[q]
-            keep = p[:, 0] != q[:, 0]
-            p, q = p[keep], q[keep]
-            if len(p) == 0:
-                return None
-            swap = p[:, 0] > q[:, 0]
-            first, second = np.where(swap[:, None], q, p), np.where(swap[:, None], p, q)
-            return [first[:, 0], second[:, 0], first[:, 1] - l, second[:, 1] - l, np.full(len(p), l + k + r)]
-
-        out, size = [], 0
-        for i, (off, seg) in enumerate(keys):
-            if len(members[i]) > 1 and len(seg) >= min_chars:
-                if len(members[i]) > 2048:  # many copies: pair blocks, one at a time
-                    whole = members[i]
-                    for a in range(0, len(whole), 1024):
-                        for b in range(a, len(whole), 1024):
-                            members[i] = whole[a : a + 1024]
-                            keys.append(keys[i])
-                            members.append(whole[b : b + 1024])
-                            got = product(i, i if a == b else len(members) - 1, off, len(seg) - off - k)
-                            members.pop()
-                            keys.pop()
-                            if got is not None:
-                                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(got, types)], names=names)
-                    members[i] = whole
-                    continue
-                if (got := product(i, i, off, len(seg) - off - k)) is not None:
-                    out.append(got)
-                    size += len(got[0])
-        if len(keys) > 1:
-            for i, js, l, r in _class_pairs([x[1] for x in keys], [x[0] for x in keys], min_chars, k):
-                for j, a, b in zip(js.tolist(), l.tolist(), r.tolist()):
-                    if (got := product(i, j, a, b)) is not None:
-                        out.append(got)
-                        size += len(got[0])
-                    if size > 200_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out), types)], names=names)
-                        out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out), types)], names=names)
-
-    def block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Rows of up to BLOCK_PHRASES phrases: one automaton over the phrases, all segments through it."""
-        phrases: dict[str, list] = {}
-        for h, doc, pos, off, seg in rows:
-            phrases.setdefault(seg[off : off + k], [])
-        automaton = ahocorasick.Automaton()
-        for phrase in phrases:
-            automaton.add_word(phrase, phrase)
-        automaton.make_automaton()
-        for h, doc, pos, off, seg in rows:
-            for end, phrase in automaton.iter(seg):
-                if end == off + k - 1:  # other places come with segments of their own
-                    phrases[phrase].append((doc, pos, off, seg))
-        for found in phrases.values():
-            if len(found) > 1:
-                yield from compare(found)
+def _grouped(compare):
+    """For mapInArrow over ``key, other, blk, off, seg, docs, at`` in order of key and other: ``compare`` on the classes
+    of each group. A class is a block, an offset, a context and the places (document, position) that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, n, last = [], 0, None
+        classes: dict[tuple[int, int, str], list] = defaultdict(list)
+        last = None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if row[0] != last:
-                    if n >= BLOCK_PHRASES or len(rows) > 20_000:
-                        yield from block(rows)
-                        rows, n = [], 0
-                    n += 1
-                    last = row[0]
-                rows.append(row)
-        if rows:
-            yield from block(rows)
+            for key, other, blk, off, seg, docs, at in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (key, other) != last:
+                    if classes:
+                        yield from compare(list(classes), [np.array(x, dtype=np.int64) for x in classes.values()])
+                    classes.clear()
+                    last = (key, other)
+                classes[blk, off, seg].extend(zip(docs, at))
+        if classes:
+            yield from compare(list(classes), [np.array(x, dtype=np.int64) for x in classes.values()])
 
     return run
 
 
+def _met(classes: list, min_chars: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``_class_pairs`` of the classes of a group; of two blocks, those across."""
+    blk = np.array([x[0] for x in classes])
+    for i, js, l, r in _class_pairs([x[2] for x in classes], [x[1] for x in classes], min_chars, k):
+        ok = (blk[js] != blk[i]) | (blk[i] < 0)
+        if ok.any():
+            yield i, js[ok], l[ok], r[ok]
+
+
+def _pair_rows(min_chars: int, k: int):
+    """The pairs of documents of each group of classes."""
+    at_once = 1 << 18
+
+    def product(p: np.ndarray, q: np.ndarray) -> Iterator[np.ndarray]:
+        for a in range(0, len(p), 512):
+            for b in range(0, len(q), 512):
+                x, y = np.repeat(p[a : a + 512], len(q[b : b + 512])), np.tile(q[b : b + 512], len(p[a : a + 512]))
+                differ = x != y
+                yield np.stack((np.minimum(x, y)[differ], np.maximum(x, y)[differ]))
+
+    def compare(classes: list, members: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        docs = [np.unique(m[:, 0]) for m in members]
+        if len(docs) == 1 and len(docs[0]) < 2:
+            return
+        held, size = [], 0
+
+        def give() -> pa.RecordBatch:
+            got = np.unique(np.concatenate(held, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["doc_a", "doc_b"])
+
+        def made() -> Iterator[np.ndarray]:
+            for (blk, *_), d in zip(classes, docs):
+                if blk < 0 and len(d) > 1:
+                    yield from product(d, d)
+            if len(classes) > 1:
+                for i, js, _, _ in _met(classes, min_chars, k):
+                    yield from product(docs[i], np.unique(np.concatenate([docs[j] for j in js])))
+
+        for x in made():
+            held.append(x)
+            size += x.shape[1]
+            if size > at_once:
+                yield give()
+                held, size = [], 0
+        if size:
+            yield give()
+
+    return _grouped(compare)
+
+
+def _reach_rows(min_chars: int, k: int):
+    """How far each place shares its context with other documents: ``doc, s, e``. All that a place shares around a
+    phrase holds the phrase, so it is one stretch: as far to the left, and to the right, as with any."""
+
+    def compare(classes: list, members: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        docs = [np.unique(m[:, 0]) for m in members]
+        near: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # partner's only document or -1, left, right
+        sole = [int(d[0]) if len(d) == 1 else -1 for d in docs]
+        for i, (blk, off, seg) in enumerate(classes):
+            if blk < 0 and len(docs[i]) > 1:
+                near[i].append((-1, off, len(seg) - off - k))
+        if len(classes) > 1:
+            for i, js, l, r in _met(classes, min_chars, k):
+                for j, a, b in zip(js.tolist(), l.tolist(), r.tolist()):
+                    near[i].append((sole[j], a, b))
+                    near[j].append((sole[i], a, b))
+        out = []
+        for i, found in near.items():
+            known = np.array(found)
+            for own in {int(d) for d in docs[i]} & {x[0] for x in found} or {-2}:  # documents that some partner is only of
+                other = known[known[:, 0] != own]
+                places = members[i] if own < -1 else members[i][members[i][:, 0] == own]
+                if len(other):
+                    out.append((places[:, 0], places[:, 1] - other[:, 1].max(), places[:, 1] + k + other[:, 2].max()))
+            rest = np.isin(members[i][:, 0], known[:, 0])
+            if rest.any() and not rest.all():
+                places = members[i][~rest]
+                out.append((places[:, 0], places[:, 1] - known[:, 1].max(), places[:, 1] + k + known[:, 2].max()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["doc", "s", "e"])
+
+    return _grouped(compare)
+
+
 def _copies(documents: DataFrame) -> DataFrame:
     """``doc, rep``: documents whose whole text has a copy with a smaller id."""
     same = documents.select("doc", F.xxhash64("text").alias("x"), F.xxhash64(F.lit("second"), "text").alias("y"))
@@ -300,24 +331,36 @@ def _copies(documents: DataFrame) -> DataFrame:
     return same.join(least, ["x", "y"]).filter("doc > rep").select("doc", "rep")
 
 
-def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, phrase_chars: int = PHRASE_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Two tables: ``doc_a, doc_b, start_a, start_b, n_chars`` between documents of different text, a row for
-    each recurring phrase in the stretch (their union is the whole stretch); and ``doc, rep`` for the copies."""
+def contexts(documents: DataFrame, id_col: str, text_col: str, min_chars: int, phrase_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables: ``key, other, blk, off, seg, docs, at``, the contexts of recurring phrases, in the groups in which
+    they are to be compared; and ``doc, rep`` for copies of whole texts."""
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= min_chars))
     copies = materialize(_copies(docs), "copies")
     kept = materialize(docs.mapInArrow(_anchor_rows(min_chars, phrase_chars), "h bigint, doc bigint, pos int").join(copies, "doc", "left_anti"), "anchors")
+    n_shards = 1 + kept.count() * (min_chars - phrase_chars) // (2 * SHARD_CHARS)
+    shard = F.pmod(F.xxhash64("doc"), F.lit(n_shards)).cast("int").alias("shard")
     recurring = kept.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).filter("a < b").select("h", "n")
-    by_doc = kept.join(recurring, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "pos", "n")).alias("found"))
-    segments = docs.join(by_doc, "doc").select("doc", "text", "found").mapInArrow(_segment_rows(min_chars, phrase_chars), "h bigint, doc bigint, pos int, off int, seg string")
-    parted = segments.repartition("h").sortWithinPartitions("h")
-    spans = parted.mapInArrow(_shared_rows(min_chars, phrase_chars), "doc_a bigint, doc_b bigint, start_a bigint, start_b bigint, n_chars bigint")
-    return spans, copies
-
-
-def shared_pairs(documents: DataFrame, **named) -> DataFrame:
+    needed = kept.groupBy(shard, "h").agg(F.min(F.struct("doc", "pos")).alias("p")).join(recurring, "h").select("shard", "h", "p.doc", "p.pos", "n")
+    passed = copies.select(shard, F.lit(None).cast("bigint").alias("h"), "doc", F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("n"))
+    found = docs.select(shard, "doc", "text").groupBy("shard").cogroup(needed.unionByName(passed).groupBy("shard")).applyInArrow(_locate(min_chars, phrase_chars), CONTEXTS)
+    found = materialize(found, "contexts")
+    # keys with very many contexts are compared in pairs of blocks
+    sizes = found.groupBy("key").agg(F.count("*").alias("n"))
+    limit = max(GROUP, found.count() // HOT_KEYS)
+    hot = sizes.filter(F.col("n") > limit).select("key", F.ceil(F.col("n") / F.lit(GROUP)).cast("int").alias("parts"))
+    known = found.join(F.broadcast(hot), "key", "left")  # at most HOT_KEYS rows
+    many = F.coalesce("parts", F.lit(1))
+    mine = F.pmod(F.xxhash64("off", "seg", F.get("docs", F.lit(0))), many).cast("int").alias("mine")
+    spread = known.select("key", mine, F.explode(F.sequence(F.lit(0), many - 1)).alias("to"), "off", "seg", "docs", "at")
+    blk = F.when(F.col("mine") == F.col("to"), -1).otherwise(F.col("mine"))
+    pair = F.least("mine", "to").cast("bigint") * F.lit(1 << 32) + F.greatest("mine", "to")
+    return spread.select("key", pair.alias("other"), blk.alias("blk"), "off", "seg", "docs", "at").repartition("key", "other").sortWithinPartitions("key", "other"), copies
+
+
+def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, phrase_chars: int = PHRASE_CHARS) -> DataFrame:
     """``doc_a, doc_b``, doc_a < doc_b: documents with a stretch of at least ``min_chars`` in common."""
-    spans, copies = shared_spans(documents, **named)
-    pairs = materialize(spans.select("doc_a", "doc_b").distinct(), "pairs")
+    found, copies = contexts(documents, id_col, text_col, min_chars, phrase_chars)
+    pairs = materialize(found.mapInArrow(_pair_rows(min_chars, phrase_chars), "doc_a bigint, doc_b bigint").distinct(), "pairs")
     # every copy stands for its text: beside the pairs' own ends, and with the other copies
     group = copies.unionByName(copies.select(F.col("rep").alias("doc"), "rep").distinct())
     out = pairs
@@ -340,14 +383,11 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "n_shared"])
 
 
-def coverage(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
+def coverage(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, phrase_chars: int = PHRASE_CHARS) -> DataFrame:
     """``doc_id, n_chars, n_shared, share``, a row for each document: how many of its code points lie in
-    stretches that another document holds too."""
-    spans, copies = shared_spans(documents, id_col, text_col, **named)
-    ends = spans.select(F.inline(F.array(
-        F.struct(F.col("doc_a").alias("doc"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("n_chars")).alias("e")),
-        F.struct(F.col("doc_b").alias("doc"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("n_chars")).alias("e")),
-    )))
+    stretches that another document holds too. No pairs of documents are made."""
+    found, copies = contexts(documents, id_col, text_col, min_chars, phrase_chars)
+    ends = found.mapInArrow(_reach_rows(min_chars, phrase_chars), "doc bigint, s bigint, e bigint")
     # a document has few starts; of each the furthest end is enough
     most = ends.groupBy("doc", "s").agg(F.max("e").alias("e")).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("found"))
     shared = most.mapInArrow(_merged, "doc_id bigint, n_shared bigint")
