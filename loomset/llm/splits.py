@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomset.runtime import materialize
+from loomset.runtime import materialize, measured
 
 HOT_ROWS = 100_000
 HASH_BUCKETS = 1 << 10
@@ -34,41 +34,50 @@ def source_name(raw: Column) -> Column:
     return F.when((s != "") & (s != "unknown"), s)
 
 
-def attach(rows: DataFrame, groups: DataFrame, by: list[str], n: str) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, by: list[str], n: str, total: int | None, most: int | None) -> DataFrame:
     """``rows`` joined with one row of ``groups`` for each of its keys. ``groups`` says in ``n`` how many rows
-    have the key: the few keys with very many are sent to the rows by broadcast, at most 10,000 of them, the
-    others take a shuffle in which no key is large."""
-    total = groups.agg(F.sum(n)).first()[0] or 0
-    hot = groups.filter(F.col(n) > max(HOT_ROWS, total // 10_000))
-    if hot.isEmpty():
+    have the key, ``total`` of them in all and ``most`` the most: the few keys with very many are sent to the rows
+    by broadcast, at most 10,000 of them, the others take a shuffle in which no key is large."""
+    limit = max(HOT_ROWS, (total or 0) // 10_000)
+    if (most or 0) <= limit:
         return rows.join(groups, by)
+    hot = groups.filter(F.col(n) > limit)
     return rows.join(F.broadcast(hot), by).unionByName(rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(groups, by))
 
 
+def follow(rows: DataFrame, n_rows: int, parent: DataFrame, by: str, to: str, how: str = "inner") -> DataFrame:
+    """``rows`` with ``to``, the parent of the vertex in ``by``. Many rows may hold one vertex: those that very many
+    hold get their parent by broadcast."""
+    up = parent.select(F.col("v").alias(by), F.col("p").alias(to))
+    if n_rows <= HOT_ROWS:  # then no vertex is in more
+        return rows.join(up, by, how)
+    hot = rows.groupBy(by).count().filter(F.col("count") > max(HOT_ROWS, n_rows // 10_000)).select(by)  # at most 10,000 rows
+    known = F.broadcast(up.join(F.broadcast(hot), by, "left_semi"))
+    return rows.join(F.broadcast(hot), by, "left_semi").join(known, by, how).unionByName(rows.join(F.broadcast(hot), by, "left_anti").join(up, by, how))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``v, root`` for every vertex of ``a, b``: the smallest vertex of its component."""
-    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    label = None
-    while not edges.isEmpty():
+    """``v, root`` for every vertex of ``a, b``: the smallest vertex of its component. What was moved is counted
+    while it is written."""
+    n = F.count(F.lit(1))
+    edges, seen = measured(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", n=n)
+    label, n_label = None, 0
+    while seen["n"]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # hook: onto the smallest neighbour, where that is smaller
-        parent = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("p")), "parent")
+        parent, got = measured(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("p")), "parent", n=n)
         while True:  # shortcut: every parent becomes the grandparent, until all are roots
-            up = parent.select(F.col("v").alias("p"), F.col("p").alias("g"))
-            parent = materialize(parent.join(up, "p").select("v", F.col("g").alias("p"), (F.col("p") != F.col("g")).alias("moved")), "parent")
-            if parent.filter("moved").isEmpty():
+            step = follow(parent, got["n"], parent, "p", "g").select("v", F.col("g").alias("p"), (F.col("p") != F.col("g")).alias("moved"))
+            parent, got = measured(step, "parent", n=n, moved=F.count(F.when(F.col("moved"), 1)))
+            parent = parent.select("v", "p")
+            if not got["moved"]:
                 break
-        parent = parent.select("v", "p")
         if label is None:
-            label = parent.select("v", F.col("p").alias("root"))
+            label, n_label = parent.select("v", F.col("p").alias("root")), got["n"]
         else:
-            up = parent.select(F.col("v").alias("root"), F.col("p").alias("g"))
-            label = label.join(up, "root", "left").select("v", F.coalesce("g", "root").alias("root"))
-        label = materialize(label, "label")
-        a = parent.select(F.col("v").alias("a"), F.col("p").alias("pa"))
-        b = parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        moved = edges.join(a, "a").join(b, "b").filter("pa <> pb")
-        edges = materialize(moved.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct(), "edges")
+            label = materialize(follow(label, n_label, parent, "root", "g", "left").select("v", F.coalesce("g", "root").alias("root")), "label")
+        moved = follow(follow(edges, seen["n"], parent, "a", "pa"), seen["n"], parent, "b", "pb").filter("pa <> pb")
+        edges, seen = measured(moved.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct(), "edges", n=n)
     return label if label is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
@@ -77,11 +86,11 @@ def source_groups(records: DataFrame) -> DataFrame:
     group and the group's size."""
     rows = materialize(records.filter("rec_key is not null").select(F.monotonically_increasing_id().alias("v"), "kind", "rec_key", F.array_distinct(F.array_compact(F.transform(F.coalesce("sources", F.array()), source_name))).alias("names")), "records")
     named = rows.select("v", F.explode("names").alias("name"))
-    stars = materialize(named.groupBy("name").agg(F.min("v").alias("b"), F.count("*").alias("many")).filter("many > 1"), "stars")
-    label = components(attach(named, stars, ["name"], "many").select(F.col("v").alias("a"), "b"))
+    stars, many = measured(named.groupBy("name").agg(F.min("v").alias("b"), F.count("*").alias("many")).filter("many > 1"), "stars", total=F.sum("many"), most=F.max("many"))
+    label = components(attach(named, stars, ["name"], "many", **many).select(F.col("v").alias("a"), "b"))
     rooted = materialize(rows.join(label, "v", "left").select("kind", "rec_key", F.coalesce("root", "v").alias("root")), "rooted")
-    groups = materialize(rooted.groupBy("root").agg(F.min("rec_key").alias("group_key"), F.count("*").alias("n")), "groups")
-    return attach(rooted, groups, ["root"], "n").select("kind", "rec_key", "group_key", "n", "root")
+    groups, sizes = measured(rooted.groupBy("root").agg(F.min("rec_key").alias("group_key"), F.count("*").alias("n")), "groups", total=F.sum("n"), most=F.max("n"))
+    return attach(rooted, groups, ["root"], "n", **sizes).select("kind", "rec_key", "group_key", "n", "root")
 
 
 def closest_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
@@ -145,4 +154,5 @@ def assign_splits(records: DataFrame, proportions: tuple[float, float, float] =
     ranked = groups.withColumn("r", F.row_number().over(W.partitionBy("n", "bucket").orderBy("h", "root"))).join(offsets, ["n", "bucket"])
     rank = F.col("r") + F.col("before")
     named = ranked.join(quota, "n").select("root", "n", F.when(rank <= F.col("t"), "test").when(rank <= F.col("t") + F.col("v"), "validation").otherwise("train").alias("split"))
-    return attach(grouped.drop("n"), materialize(named, "splits"), ["root"], "n").select("kind", "rec_key", "group_key", "split")
+    named, most = measured(named, "splits", total=F.sum("n"), most=F.max("n"))
+    return attach(grouped.drop("n"), named, ["root"], "n", **most).select("kind", "rec_key", "group_key", "split")
