@@ -1,18 +1,19 @@
 """Problem 6: records of evaluation splits that are also, exactly or almost, in the training split.
 
-The words of each text are laid on a circle in a fixed order, that of their hashes, so that texts in another order
-read alike. Evaluation texts are indexed so, as sequences of words, in shards of bounded size: a compressed
-full-text index for each, built in a task. A shard at a time is sent to all tasks, and the training texts, which are
-not shuffled, are streamed through backward search.
-
-Of two texts with similarity >= t, and o words in common out of a and b, the a + b - 2 o other words break the
-circle of common words into runs; o - (L - 1) (a + b - 2 o) runs of L neighbours at least are left whole, for
-L < 1 / (1 - t). The backward search gives how often every run of L = 1, 2, 3 .. words of a training text occurs in
-the shard, without locating any. Of each text the L is taken with which, all but that many of its most frequent runs
-left out, the fewest occurrences remain: this misses no similar text, and words that a third of all texts have cost
-nothing as long as a text has others. The occurrences are located by the sampled suffix positions and joined along
-diagonals to maximal matches; spans and counts are merged for each pair of texts. Sizes and hashed bitmaps bound
-the overlap, and exact intersection of the two sequences decides.
+Evaluation texts are indexed as sequences of words, in shards of bounded size and of texts of like size: a compressed
+full-text index for each, built in a task. A shard at a time is sent to all tasks, and the training texts whose size
+allows a similar one, which are not shuffled, are streamed through backward search.
+
+Words stand in an order in which texts of another order read alike: first those that are rare in the shard, then, on
+a circle, those that are frequent, both by their hashes. Of two texts with similarity >= t, a and b words, and o of
+them in common, either a rare word is in common, or all common words are on the circle, where the other words break
+them into runs: o - (L - 1) (a + b - r - 2 o) runs of L neighbours at least are left whole, r being the rare words of
+one. The backward search gives how often every rare word and every run of L = 1, 2, 3 .. words of a training text
+occurs in the shard, without locating any. Of each text the L is taken with which, all but that many of its most
+frequent runs left out, the fewest occurrences remain: this misses no similar text, and words that a third of all
+texts have cost nothing as long as a text has others. The occurrences are located by sampled suffix positions and
+joined along diagonals to maximal matches; spans and counts are merged for each pair of texts. Sizes and hashed
+bitmaps bound the overlap, and exact intersection of the two sequences decides.
 
 Defined results: a record delivered several times counts once, by its last delivery; null and wordless texts
 overlap nothing; a record with several texts overlaps if one of them does; equal texts overlap; values of the
@@ -39,6 +40,9 @@ from loomset.runtime import materialize
 TRAIN, EVALUATION = ("", "train"), ("validation", "dev", "labelled_dev", "test")
 #: Words of evaluation texts in a shard: what is sent to a task has this bound, about 20 bytes a word.
 SHARD_WORDS = 1_000_000
+#: A word in more texts of a shard than this goes on the circle. Shards have one size, so this means the same anywhere.
+FREQUENT = 32
+RATE = 2  # of the suffix positions that are kept
 ROWS_AT_ONCE = 1 << 19
 #: Keys of copies that one task joins to its pairs.
 MEMBERS, HOT_TEXTS = 50_000, 100_000
@@ -56,64 +60,85 @@ def longest_run(t: Fraction) -> int:
 
 
 class Shard:
-    """Evaluation sets as circles of words in a full-text index. Each sequence ends with its first words again, so
-    that runs over the end of the circle are found."""
+    """Evaluation sets as sequences of words in a full-text index. A circle ends with its first words again, so that
+    runs over its end are found."""
 
     def __init__(self, flat: np.ndarray, sizes: np.ndarray, ids: np.ndarray, t: Fraction):
-        self.t, self.run = t, longest_run(t)
+        self.t, self.run = t, longest_run(t) + 1
         self.vocabulary, symbol = np.unique(flat, return_inverse=True)
-        symbol = symbol.astype(np.int64) + 1
-        over = np.minimum(self.run - 1, sizes)
-        e, k = setsim.expand(sizes + over + 1)
+        self.frequent = np.append(False, np.bincount(symbol) > FREQUENT)
+        symbol, self.hot = self._ordered(symbol.astype(np.int64) + 1, sizes)
+        over = np.minimum(self.run - 1, self.hot)
+        whole = sizes + over + 1
+        e, k = setsim.expand(whole)
+        rare = sizes - self.hot
         start = np.cumsum(sizes) - sizes
-        end = k == (sizes + over)[e]
-        text = np.where(end, 0, symbol[start[e] + np.where(end, 0, k % np.maximum(sizes, 1)[e])])
-        self.index = FMIndex(text)
-        self.begin = np.cumsum(sizes + over + 1) - (sizes + over + 1)  # of each sequence in the text
+        at = np.where(k < rare[e], k, rare[e] + (k - rare[e]) % np.maximum(self.hot, 1)[e])
+        end = k == whole[e] - 1
+        self.index = FMIndex(np.where(end, 0, symbol[start[e] + np.where(end, 0, at)]), RATE)
+        self.begin = np.cumsum(whole) - whole  # of each sequence in the text
         self.symbol, self.start, self.sizes, self.ids = symbol.astype(np.int32), start, sizes, ids
         self.maps = setsim.bitmaps(flat, sizes)
 
-    def _runs(self, symbol: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of the run of each length from each place, lengths x places."""
+    def _ordered(self, symbol: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rare words before frequent ones, and how many are frequent. Symbols are numbered in order of hashes."""
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        hot = self.frequent[symbol]
+        return symbol[np.lexsort((symbol, hot, of))], np.bincount(of[hot], minlength=len(sizes))
+
+    def _runs(self, symbol: np.ndarray, of: np.ndarray, sizes: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) of the run of each length from each place, lengths x places; of one word where it is rare."""
         n = len(symbol)
-        start = (np.cumsum(sizes) - sizes)[of]
-        at = np.arange(n) - start
+        circle = (np.cumsum(sizes) - hot)[of]  # where it begins
         lo, hi = np.zeros((self.run, n), dtype=np.int64), np.zeros((self.run, n), dtype=np.int64)
-        for length in range(1, self.run + 1):
-            rows = np.flatnonzero((symbol > 0) & (length <= sizes[of]))
-            if length > 1:  # the run of one word less from the next place, with the word before it
-                nxt = start[rows] + (at[rows] + 1) % sizes[of[rows]]
-                rows, nxt = rows[hi[length - 2, nxt] > lo[length - 2, nxt]], nxt[hi[length - 2, nxt] > lo[length - 2, nxt]]
-                lo[length - 1, rows], hi[length - 1, rows] = self.index.extend(symbol[rows], lo[length - 2, nxt], hi[length - 2, nxt])
-            else:
-                lo[0, rows], hi[0, rows] = self.index.first[symbol[rows]], self.index.first[symbol[rows] + 1]
+        rows = np.flatnonzero(symbol)
+        lo[0, rows], hi[0, rows] = self.index.first[symbol[rows]], self.index.first[symbol[rows] + 1]
+        rows = np.flatnonzero(self.frequent[symbol])
+        for length in range(2, self.run + 1):  # the run of one word less from the next place, with the word before it
+            nxt = circle[rows] + (rows - circle[rows] + 1) % hot[of[rows]]
+            live = (hot[of[rows]] >= length) & (hi[length - 2, nxt] > lo[length - 2, nxt])
+            at, nxt = rows[live], nxt[live]
+            lo[length - 1, at], hi[length - 1, at] = self.index.extend(symbol[at], lo[length - 2, nxt], hi[length - 2, nxt])
         return lo, hi
 
     def stream(self, flat: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For training sets: set, evaluation set, maximal matches and words in common, of each similar pair."""
         of = np.repeat(np.arange(len(sizes)), sizes)
         place = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
-        symbol = np.where(self.vocabulary[place] == flat, place + 1, 0)
-        lo, hi = self._runs(symbol, of, sizes)
-        # what each length would cost each set
+        maps = setsim.bitmaps(flat, sizes)
+        symbol, hot = self._ordered(np.where(self.vocabulary[place] == flat, place + 1, 0), sizes)
+        lo, hi = self._runs(symbol, of, sizes, hot)
+        circle = self.frequent[symbol]
+        rare, n_of = sizes - hot, of[circle]
+        # the rarest of the rare words, as many as one of them must be in common, or all
+        count = hi[0] - lo[0]
+        spare = sizes - setsim.least_common(sizes, self.t)
+        kept = ~circle
+        order = np.flatnonzero(kept)
+        order = order[np.lexsort((count[order], of[order]))]
+        kept[order] = setsim.place(of[order], rare) <= spare[of[order]]
+        single = kept & (count > 0)
+        # what each length would cost each set whose rare words need not be in common
         keep, cost = [], []
         for length in range(1, self.run + 1):
-            count = hi[length - 1] - lo[length - 1]
-            need = setsim.least_common(sizes, self.t, length)
-            order = np.lexsort((count, of))
-            kept = np.zeros(len(of), dtype=bool)
-            kept[order] = setsim.place(of[order], sizes) <= (sizes - need)[of[order]]
-            keep.append(kept & (count > 0))
-            cost.append(np.where(length <= sizes, np.bincount(of[keep[-1]], count[keep[-1]], minlength=len(sizes)), np.inf))
-        best = np.argmin(np.stack(cost[::-1]), axis=0)  # the longest of equals
-        best = self.run - 1 - best
-        picked = [np.flatnonzero(k & (best[of] == i)) for i, k in enumerate(keep)]
+            count = (hi[length - 1] - lo[length - 1])[circle]
+            need = setsim.least_common(sizes, self.t, length) + (length - 1) * rare
+            order = np.lexsort((count, n_of))
+            kept = np.zeros(len(n_of), dtype=bool)
+            kept[order] = setsim.place(n_of[order], hot) <= (hot - need)[n_of[order]]
+            keep.append(np.zeros(len(of), dtype=bool))
+            keep[-1][circle] = kept & (count > 0)
+            cost.append(np.where((need > 0) & (length <= np.maximum(hot, 1)), np.bincount(n_of[kept], count[kept], minlength=len(sizes)), np.inf))
+        best = self.run - 1 - np.argmin(np.stack(cost[::-1]), axis=0)  # the longest of equals
+        best[rare > spare] = -1
+        keep[0] = single | (keep[0] & (best[of] == 0))
+        best[best == 0] = -1
+        picked = [np.flatnonzero(k & ((best[of] == i) | (i == 0))) for i, k in enumerate(keep)]
         where = np.concatenate(picked)
         length = np.repeat(np.arange(1, self.run + 1), [len(x) for x in picked])
         low, high = lo[length - 1, where], hi[length - 1, where]
         order = np.argsort(where, kind="stable")
         where, length, low, high = where[order], length[order], low[order], high[order]
-        maps = setsim.bitmaps(flat, sizes)
         at = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
         total = np.cumsum(high - low)
         ends = np.append(np.flatnonzero(of[where][1:] != of[where][:-1]) + 1, len(where))  # sets stay whole
@@ -155,7 +180,8 @@ class Shard:
         i, there, x, y = i[ok], there[ok], x[ok], y[ok]
         ok = setsim.may_reach(sizes[x], self.sizes[y], maps[x], self.maps[y], self.t)
         i, there, x, y = i[ok], there[ok], x[ok], y[ok]
-        here, there = at[where[i]], (there - self.begin[y]) % self.sizes[y]
+        here, there, rare = at[where[i]], there - self.begin[y], self.sizes[y] - self.hot[y]
+        there = np.where(there < rare, there, rare + (there - rare) % np.maximum(self.hot[y], 1))
         # runs that follow each other, or overlap, on a diagonal are one maximal match
         diagonal = here - there
         order = np.lexsort((here, diagonal, y, x))
@@ -220,23 +246,37 @@ def matches(rows: DataFrame, t: Fraction, shard_words: int = SHARD_WORDS) -> Dat
     for) and the words in common. One pass over the training texts for each shard of evaluation texts."""
     spark = rows.sparkSession
     texts = rows.filter("side = 'e'").groupBy("cid", "second").agg(F.first("hashes").alias("hashes"))
-    texts = materialize(texts, "evaluation")
-    words = texts.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    if words == 0:
+    texts = materialize(texts.select("cid", "second", "hashes", F.size("hashes").alias("n")), "evaluation")
+    # shards of texts of like size; a row for each size that occurs
+    shards: list[list[int]] = []  # least size, largest size
+    placed, room = [], 0
+    for n, many in sorted(texts.groupBy("n").count().collect()):
+        if n * many > room:
+            shards += [[n, n] for _ in range(-(-n * many // shard_words))]
+            room = shard_words - n * many if n * many <= shard_words else 0
+            placed.append((n, len(shards) - max(1, -(-n * many // shard_words)), max(1, -(-n * many // shard_words))))
+        else:
+            shards[-1][1] = n
+            room -= n * many
+            placed.append((n, len(shards) - 1, 1))
+    if not shards:
         return spark.createDataFrame([], MATCHES)
-    n_shards = -(-words // shard_words)
-    placed = texts.select(F.pmod(F.xxhash64("cid"), F.lit(n_shards)).cast("int").alias("shard"), "cid", "second", "hashes")
-    built = materialize(placed.groupBy("shard").applyInArrow(_build(t), "shard int, data binary"), "index")
+    of = F.broadcast(spark.createDataFrame(placed, "n int, first int, among int"))
+    shard = (F.col("first") + F.pmod(F.xxhash64("cid"), F.col("among"))).cast("int").alias("shard")
+    built = materialize(texts.join(of, "n").select(shard, "cid", "second", "hashes").groupBy("shard").applyInArrow(_build(t), "shard int, data binary"), "index")
     training = rows.filter("side = 't'").select("cid", "second", "hashes")
     found = None
-    for r in range(n_shards):
+    for r, (least, most) in enumerate(shards):
         data = built.filter(F.col("shard") == r).select("data").collect()  # one shard, of bounded size
         if not data:
             continue
         index = spark.sparkContext.broadcast(bytes(data[0][0]))
-        part = materialize(training.mapInArrow(_stream_rows(index), MATCHES), "matches")
+        near = training.filter(F.size("hashes").between(-(-least * t.numerator // t.denominator), most * t.denominator // t.numerator))
+        part = materialize(near.mapInArrow(_stream_rows(index), MATCHES), "matches")
         index.destroy()
         found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], MATCHES)
     pair = ["t_cid", "t_second", "e_cid", "e_second"]
     return found.groupBy(*pair).agg(F.max("n_spans").alias("n_spans"), F.max("n_words").alias("n_words"))
 
