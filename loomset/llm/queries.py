@@ -44,13 +44,18 @@ def _answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(_answer_pairs(spark, sf_dir), "pairs")
-    return pairs.defects(found, truncation.fit(found.select(F.col("answer").alias("text"))))
+    return pairs.judged(found, truncation.fit(found.select(F.col("answer").alias("text"))))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged_pairs(spark, sf_dir).drop("in_order")
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_found(spark, sf_dir).groupBy("kind", "defect").agg(F.count("*").alias("n_pairs"))
+    """Defects by kind and, of the copies, how much is copied in order on average."""
+    return _judged_pairs(spark, sf_dir).groupBy("kind", "defect").agg(F.count("*").alias("n_pairs"), F.round(F.avg(F.when(F.col("defect") == "copy", F.col("in_order"))), 6).alias("in_order"))
 
 
 def _limited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,11 @@ from pyspark.sql import types as T
 SIZE = 1 << 15
 #: The regression is fitted on at most this many texts.
 SAMPLE = 20_000
-LONGEST = 4_096  # lengths beyond it are counted together
+LONGEST = 1 << 20  # no field has a limit beyond it
 
 #: Marks that are put where a text was cut.
 CUT_MARK = re.compile(r"(?:\s*(?:\.\.\.+|…|�|,,+|\[\s*(?:\.\.\.|…|cut|truncated|continued|more)[^\]\n]{0,20}\]|\((?:cut|truncated|continued|more)\)))+$", re.IGNORECASE)
+MARKS = frozenset(".…�,])")  # what a cut mark can end with
 #: Abbreviations after which a sentence goes on.
 ABBREVIATIONS = frozenset("no nr nos vol art sec par p pp fig ch cf vs v mr mrs ms dr prof st hon gen col sen rep rev jr sr messrs approx ca bzw z.b d.h u.a abs str núm sr.a mme mlle n° e.g i.e a.m u.s u.k jan feb mar apr jun jul aug sept sep oct nov dec".split())
 #: Words that stay small in headlines.
@@ -87,7 +89,7 @@ def headline(words: list[str], text: str) -> bool:
 def stripped(text: str) -> tuple[str, bool]:
     """The text without white space and cut marks at its end, and whether there was a mark."""
     s = text.rstrip(" \t\r\n\f\v\u00a0\u200b\u200c\u200d\ufeff\u2028\u2029")
-    base = CUT_MARK.sub("", s)
+    base = CUT_MARK.sub("", s) if s[-1:] in MARKS else s
     marked = base != s
     return base.rstrip(" \t\r\n\u00a0\u200b"), marked
 
@@ -105,18 +107,24 @@ def goes_on(base: str) -> str | None:
     return None
 
 
+@lru_cache(1 << 16)
 def shape(s: str) -> str:
     return re.sub(r"\d", "9", re.sub(r"[^\W\d_]", lambda m: "A" if m.group().isupper() else "a", s))
 
 
+@lru_cache(1 << 16)
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "replace")) & (SIZE - 1)
+
+
 def features(text: str, limits: np.ndarray | None = None) -> list[tuple[int, float]]:
     """Hashed features of one text."""
     base, marked = stripped(text)
     tail = base[-400:]
-    words = WORD.findall(tail if len(base) > 400 else base)
     ended = END.search(tail) is not None
     on = goes_on(base)
-    top = headline(words, base) and not text[-1:].isspace() if len(base) <= 400 else False  # a blank waits for another word
+    words = WORD.findall(tail if ended or len(base) <= 400 else base)
+    top = not ended and headline(words, base) and not text[-1:].isspace()  # a blank waits for another word
     state = "headline" if top and not marked else f"on-{on}" if on else "ended" if ended else "stopped"
     last = words[-1].lower() if words else ""
     before = words[-2].lower() if len(words) > 1 else ""
@@ -130,10 +138,11 @@ def features(text: str, limits: np.ndarray | None = None) -> list[tuple[int, flo
     if opened:
         names.append("open")
     names.append(f"comma={base[-1:] in ',;:-–—('}")
-    found = [(zlib.crc32(n.encode("utf-8", "replace")) & (SIZE - 1), 1.0) for n in names]
+    found = [(_bucket(n), 1.0) for n in names]
     if limits is not None:
         for which, n in enumerate((len(text), len(text.encode("utf-8", "replace")))):
-            found.append((zlib.crc32(f"limit{which},{state}".encode()) & (SIZE - 1), float(limits[which, min(n, LONGEST)])))
+            if n < limits.shape[1] and limits[which, n]:
+                found.append((_bucket(f"limit{which},{state}"), float(limits[which, n])))
     return found
 
 
@@ -205,9 +214,9 @@ def limit_counts(texts: DataFrame, text_col: str = "text") -> np.ndarray:
     of the lengths around it. At most twice LONGEST rows come to the driver."""
     t = F.col(text_col)
     open_end = texts.filter(t.isNotNull() & ~t.rlike(r"[.!?](?:[\"'”’»)\]}]|\s)*$"))
-    both = F.array(F.least(F.length(t), F.lit(LONGEST)), F.least(F.octet_length(t), F.lit(LONGEST)))
-    rows = open_end.select(F.posexplode(both).alias("which", "n")).groupBy("which", "n").count().collect()
-    counts = np.zeros((2, LONGEST + 1))
+    both = F.array(F.length(t), F.octet_length(t))
+    rows = open_end.select(F.posexplode(both).alias("which", "n")).filter(F.col("n") <= LONGEST).groupBy("which", "n").count().collect()
+    counts = np.zeros((2, LONGEST + 1), dtype=np.float32)
     for which, n, c in rows:
         counts[which, n] = c
     around = np.stack([np.convolve(c, [1 / 6, 1 / 6, 1 / 6, 0, 1 / 6, 1 / 6, 1 / 6], mode="same") for c in counts])
@@ -221,7 +230,9 @@ def fit(texts: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model
     total = some.count()
     if total > sample:
         some = some.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 40)) < int(sample / total * (1 << 40)))
-    got = [r[0] for r in some.limit(2 * sample).collect()]
+    # copies count once: of a text that very many rows have, one goes into the sample
+    digest = [F.xxhash64(text_col).alias("x"), F.xxhash64(F.lit("second"), text_col).alias("y")]
+    got = [r[0] for r in some.groupBy(*digest).agg(F.first(text_col).alias("t")).orderBy("x", "y").limit(2 * sample).select("t").collect()]
     return Model.fit(sorted(set(got)), limits)
 
 
@@ -235,7 +246,9 @@ def flag(texts: DataFrame, model: Model, text_col: str = "text", unless: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_cut = shared.value.is_cut
         for batch in batches:
-            cut = [is_cut(t) and not unless(t) for t in batch.column(len(names) - 1).to_pylist()]
+            coded = batch.column(len(names) - 1).dictionary_encode()  # texts that come again are judged once
+            judged = np.array([is_cut(t) and not unless(t) for t in coded.dictionary.to_pylist()] + [False])
+            cut = judged[coded.indices.fill_null(len(judged) - 1).to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut, pa.bool_())], names=[*names, "cut"])
 
     return ordered.mapInArrow(run, schema)

@@ -123,3 +123,48 @@ def test_fitting_does_not_depend_on_order():
 
 def test_refusals_behind_blanks():
     assert pairs.is_refusal("I" + " " * 700 + "cannot help with that request.")
+
+
+@pytest.mark.parametrize("answer, want", [
+    ("Tariffen har sålts av staden eftersom den inte var till nytta.", "other_language"), ("Bu tarife çok eski olarak görüldü ve bir daha satılmadı.", "other_language"), ("Taryfa została sprzedana, ale nie jest to jeszcze pewne.", "other_language"), ("La tariffa è stata venduta dal comune perché non era più utile.", "other_language"),
+    ("Het tarief werd door de stad verkocht omdat het niet meer nodig was.", "other_language"), ("Taksten er blevet solgt af byen, og den var ikke til nytte.", "other_language"),
+    ("I'd rather not write that.", "refusal"), ("Mi dispiace, ma non posso scrivere questo testo.", "refusal"), ("Desculpe, mas não posso ajudar com isso.", "refusal"), ("Helaas, ik kan deze vraag niet beantwoorden.", "refusal"), ("I'm sorry," + " " * 700 + "but I cannot help.", "refusal"),
+])
+def test_languages_and_refusals_that_were_not_seen(model, answer, want):
+    assert pairs.defect(PROMPT, answer, model) == want
+
+
+def test_a_cut_last_word_is_of_no_language(model):
+    assert pairs.defect(PROMPT, "Owing to packed co", model) == "truncated"
+
+
+def test_long_copies_are_tiled_too():
+    r = random.Random(1)
+    words = [f"w{r.randrange(400)}" for _ in range(3_000)]
+    parts = [words[a : a + 50] for a in range(0, 3_000, 50)]
+    r.shuffle(parts)
+    alike, in_order = pairs.similarity(" ".join(words), " ".join(sum(parts, [])))
+    assert alike == 1.0 and in_order > 0.9
+    assert pairs.similarity("a b c d e f g h", "h g f e d c b a") == (1.0, 0.0)
+
+
+def test_long_headlines_are_whole(model):
+    line = " ".join(f"Bad Works Sold Joint Tariff in {x}" for x in ("Lum", "Gat", "Dor", "Kib") * 5)
+    assert len(line) > 400 and not model.is_cut(line) and not Model.fit([]).is_cut(line)
+
+
+def test_limits_beyond_a_few_thousand_characters(spark):
+    limits = truncation.limit_counts(spark.createDataFrame([("a" * 65_535,)] * 30 + [("a" * n,) for n in (9_000, 70_000)], "text string"))
+    assert limits[0].argmax() == 65_535 and limits[1].argmax() == 65_535
+
+
+def test_many_copies_do_not_fill_the_sample(spark):
+    texts = [("The engine was sold by the city.",)] * 3_000 + [(t,) for t in corpus(5, 400)]
+    df = spark.createDataFrame(texts, "text string").repartition(4)
+    m = truncation.fit(df, sample=600)
+    assert m.is_cut("The engine was sold by the") and not m.is_cut("The engine was sold by the city.")
+
+
+def test_share_that_is_copied_in_order(spark, model):
+    df = spark.createDataFrame([("set", "k", 1, PROMPT, PROMPT), ("set", "k", 2, PROMPT, "Lum sold it.")], "kind string, rec_key string, view_idx int, prompt string, answer string")
+    assert [tuple(r) for r in pairs.judged(df, model).collect()] == [("set", "k", 1, "copy", 1.0)]
