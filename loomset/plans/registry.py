@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from loomset.plans import latent_queries, set_queries, text_queries, vector_queries  # noqa: F401
+    from loomset.plans import latent_queries, set_queries, source_queries, text_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
