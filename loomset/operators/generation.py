@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomset.runtime import measured, shuffle_parts
+
 Generator = Callable[[list[str]], Iterable[str]]
 
 #: What stands in for rewrites in a dry run.
@@ -55,9 +57,31 @@ def generate(jobs: DataFrame, make: Callable[[str], Generator], prompt: str = "p
                 yield pa.RecordBatch.from_arrays([*whole.slice(a, z - a).columns, *(pa.array([x[i] for x in got], pa.string()) for i in range(3))], names=schema.names)
                 a = z
 
-    return jobs.repartition(model).sortWithinPartitions(model).mapInArrow(run, schema)
+    # the prompts of a model are spread over as many tasks as there are partitions, and come together in each
+    spread = F.pmod(F.xxhash64(prompt), F.lit(shuffle_parts(jobs.sparkSession)))
+    return jobs.repartition(F.col(model), spread).sortWithinPartitions(model).mapInArrow(run, schema)
+
+
+def to_attempts(answers: DataFrame, slot: list[str], order: str) -> DataFrame:
+    """Answers as numbered attempts of their slots, in the order in which they were asked for; failed ones keep their
+    place."""
+    return answers.withColumn("attempt_idx", (F.row_number().over(W.partitionBy(*slot).orderBy(order)) - 1).cast("int"))
 
 
-def to_attempts(answers: DataFrame, slot: list[str]) -> DataFrame:
-    """Answers as numbered attempts of their slots; failed ones keep their place."""
-    return answers.withColumn("attempt_idx", (F.row_number().over(W.partitionBy(*slot).orderBy(F.monotonically_increasing_id())) - 1).cast("int"))
+def until_accepted(jobs: DataFrame, slot: list[str], make: Callable[[str], Generator], ask: Callable[[Column], Column], accept: Column, attempts: int, candidates: int = 1, model: str = "model_id") -> DataFrame:
+    """Every slot is asked ``candidates`` times an attempt until an answer is accepted, at most ``attempts`` times.
+    ``ask`` gives the prompt by the number of the question (a column, from 0); ``accept`` says of an answer
+    (``output_text``) whether it will do, null as no. Gives all questions asked, ``jobs`` with ``attempt_idx,
+    candidate_idx, prompt, output_text, generation_status, generation_error, accepted``. Slots that are done are
+    not asked again; each attempt is written, so a run that is stopped has lost one attempt at most."""
+    out, left = None, jobs
+    for n in range(attempts):
+        asked = left.withColumn("candidate_idx", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn("attempt_idx", F.lit(n))
+        asked = asked.withColumn("prompt", ask(F.col("attempt_idx") * candidates + F.col("candidate_idx")))
+        answers = generate(asked, make, model=model).withColumn("accepted", F.coalesce(accept, F.lit(False)) & (F.col("generation_status") == "ok"))
+        answers, seen = measured(answers, "answers", n=F.count(F.lit(1)))
+        out = answers if out is None else out.unionByName(answers)
+        left = left.join(answers.filter("accepted").select(*slot).distinct(), slot, "left_anti")
+        if not seen["n"]:
+            break
+    return out

@@ -10,17 +10,26 @@ from loomset.runtime import materialize
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "ord", by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with an ordinal from 0 in the order given, within ``by``. Without ``by`` the order is global: the
-    rows are range-partitioned by it, numbered within partitions and shifted by the sizes of those before, so
-    no task holds more than its range."""
+    """``df`` with an ordinal from 0 in the order given, of all rows or within ``by``. The rows are range-partitioned
+    by ``by`` and the order, numbered within partitions and shifted by the sizes of those before, so no task holds
+    more than its range, however large a group is."""
+    keys = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    names = [f"_by{i}" for i in range(len(by))]
+    ranged = df.select("*", *keys).repartitionByRange(*names, *order).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged.sortWithinPartitions(*names, *order), "ranged")  # a range keeps its number
+    within = W.partitionBy(*names) if by else W.partitionBy()
+    sizes = ranged.groupBy("_part", *names).agg(F.count("*").alias("_n"))  # as many rows as ranges and groups
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(within.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    local = ranged.withColumn("_local", F.row_number().over(W.partitionBy("_part", *names).orderBy(*order)) - 1)
     if by:
-        return df.withColumn(name, (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("bigint"))
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged = materialize(ranged.sortWithinPartitions(*order), "ranged")  # a range keeps its number
-    sizes = ranged.groupBy("_part").count()  # as many rows as ranges
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    local = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_local", local).join(F.broadcast(before), "_part").withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint")).drop("_part", "_local", "_before")
+        other = before.select(F.col("_part").alias("_p"), *[F.col(n).alias(f"{n}o") for n in names], "_before")
+        same = F.col("_part") == F.col("_p")
+        for n in names:
+            same &= F.col(n).eqNullSafe(F.col(f"{n}o"))
+        joined = local.join(other, same)
+    else:
+        joined = local.join(F.broadcast(before), "_part")
+    return joined.select(*df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(name))
 
 
 def first_success(attempts: DataFrame, slot: list[str], ok: Column, *order: str) -> DataFrame:

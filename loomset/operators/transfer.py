@@ -207,13 +207,18 @@ def inspect_pairs(codes: DataFrame, chosen: DataFrame, method: str = "ridge", ex
     pairs = code_pairs(codes).join(F.broadcast(chosen), PAIR)
     pairs = materialize(pairs.select(*PAIR, "set_idx", "is_train", "x", "y"), "pairs")
     bridges = materialize(fit_bridges(grams(pairs.filter("is_train")), (method,), ridge_alpha), "bridges")
-    mapped = map_codes(with_shuffled(pairs.filter(~F.col("is_train"))), bridges)
+    mapped = materialize(map_codes(with_shuffled(pairs.filter(~F.col("is_train"))), bridges), "mapped")
     cells = mapped.select(*PAIR, "set_idx", F.posexplode(F.arrays_zip(F.col("mapped").alias("m"), F.col("y").alias("y"), F.col("shuffled_y").alias("s"))).alias("dim", "c")).select(*PAIR, "set_idx", "dim", "c.m", "c.y", "c.s")
-    place = lambda c: F.row_number().over(W.partitionBy(*PAIR, "dim").orderBy(F.desc(F.abs(F.col(c))), "set_idx")) <= example_k
-    ranked = cells.withColumns({"tm": place("m"), "ty": place("y"), "ts": place("s")})
+    first = None  # the first examples of each concept by each value: cut within partitions, no column is gathered whole
+    for c in ("m", "y", "s"):
+        w = W.partitionBy(*PAIR, "dim").orderBy(F.desc("v"), "set_idx")
+        top = cells.select(*PAIR, "dim", "set_idx", F.abs(F.col(c)).alias("v"), F.lit(c).alias("by")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= example_k).select(*PAIR, "dim", "set_idx", "by")
+        first = top if first is None else first.unionByName(top)
+    has = lambda c: F.max((F.col("by") == c).cast("int")).alias(c)
+    shared = first.groupBy(*PAIR, "dim", "set_idx").agg(has("m"), has("y"), has("s")).groupBy(*PAIR, "dim").agg(F.sum(F.col("m") * F.col("y")).alias("my"), F.sum(F.col("m") * F.col("s")).alias("ms"))
     cosine = lambda a, b: F.when((F.sum(F.abs(a)) == 0) | (F.sum(F.abs(b)) == 0), 0.0).otherwise(F.abs(F.sum(F.col(a) * F.col(b))) / F.sqrt(F.sum(F.col(a) * F.col(a)) * F.sum(F.col(b) * F.col(b))))
-    share = lambda a, b: F.sum((F.col(a) & F.col(b)).cast("int")) / F.least(F.lit(example_k), F.count("*"))
-    scored = ranked.groupBy(*PAIR, "dim").agg(cosine("m", "y").alias("alignment"), cosine("m", "s").alias("shuffled_alignment"), share("tm", "ty").alias("top_example_overlap"), share("tm", "ts").alias("shuffled_top_example_overlap"), F.avg((F.col("y") != 0).cast("double")).alias("target_active_freq"))
+    sums = cells.groupBy(*PAIR, "dim").agg(cosine("m", "y").alias("alignment"), cosine("m", "s").alias("shuffled_alignment"), F.avg((F.col("y") != 0).cast("double")).alias("target_active_freq"), F.least(F.lit(example_k), F.count("*")).alias("most"))
+    scored = sums.join(shared, [*PAIR, "dim"]).withColumns({"top_example_overlap": F.col("my") / F.col("most"), "shuffled_top_example_overlap": F.col("ms") / F.col("most")}).drop("my", "ms", "most")
     weights = bridges.select(*PAIR, (F.size("matrix") / F.col("dim")).cast("int").alias("wide"), F.posexplode("matrix").alias("at", "w"))
     width = F.col("wide")
     cell = weights.select(*PAIR, (F.col("at") % width).alias("dim"), F.floor(F.col("at") / width).cast("int").alias("source_concept_dim"), "w")
