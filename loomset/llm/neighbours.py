@@ -8,7 +8,7 @@ and the norm of the sum they stand for; scores of queries are sums of entries of
 stored norms, and the best are ranked again by the exact cosine. The lists of the cells are merged by query.
 
 Cells hold about ``cell`` vectors whatever the size of a bank, and a query visits ``probes`` of them, so what a query
-costs does not grow with the collection, up to MOST_CELLS cells (some 270 million vectors in one bank); beyond that
+costs does not grow with the collection, up to MOST_CELLS cells (some 130 million vectors in one bank); beyond that
 cells grow. A cell with more than PART vectors is parted, and a query visits all parts, so no task holds an unbounded
 cell. Banks of no more than ``cell`` vectors are searched exactly, and so is, against its whole bank, every query whose
 visited cells hold fewer than k + 1 classes. Nothing is compared between banks.
@@ -38,12 +38,11 @@ from loomset.runtime import materialize
 #: The model of a bank is fitted on about this many of its vectors at most, taken by hash of their ids: SAMPLE, or
 #: SAMPLE_EACH for each cell; the codebooks on BOOK_SAMPLE of them.
 SAMPLE, SAMPLE_EACH, BOOK_SAMPLE = 40_000, 8, 12_000
-BANKS = 64  # models that are broadcast at once
-CELL, MOST_CELLS = 4_096, 1 << 16
+CELL, MOST_CELLS = 2_048, 1 << 16
 PART = 32_768  # classes of a cell that are searched at once
 BOOKS, ENTRIES, BEAM = 8, 128, 4
 PROBES = 4
-RERANK = 48
+RERANK = 160
 DECIMALS = 9
 QUERIES, ANSWERS = 256, 512  # scored at once
 
@@ -305,13 +304,14 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
 
 
 def _approximate(classes: DataFrame, dim: int, k: int, probes: int, rerank: int, sample: int) -> DataFrame:
-    """``bank, q, near`` of ``bank, cid, vec, many, cells, parts``, the classes of at most ``BANKS`` banks."""
+    """``bank, q, near`` of ``bank, cid, vec, many, cells, parts``, the classes of banks that have at most MOST_CELLS cells
+    together."""
     size = F.greatest(F.lit(sample), F.col("cells") * SAMPLE_EACH)
     share = F.pmod(F.xxhash64("cid", "bank"), F.lit(1 << 40)) < F.lit(1.05 * (1 << 40)) * size / F.col("many")
     picked = classes.filter((F.col("many") <= size) | share).select("bank", "cid", "vec", "cells")
     fitted = picked.groupBy("bank").applyInArrow(_fit_rows(dim), "bank string, centres binary, books binary").collect()
     models = {r["bank"]: Model(np.frombuffer(r["centres"], np.float32).reshape(-1, dim), np.frombuffer(r["books"], np.float32).reshape(BOOKS, -1, dim)) for r in fitted}
-    model = classes.sparkSession.sparkContext.broadcast(models)  # at most BANKS * (MOST_CELLS + BOOKS * ENTRIES) vectors
+    model = classes.sparkSession.sparkContext.broadcast(models)  # at most MOST_CELLS centroids, and BOOKS * ENTRIES entries for each bank of over ``cell`` vectors
 
     routed = classes.select("bank", "cid", "vec").mapInArrow(_route_rows(model, dim, probes), ROLES)
     large = classes.select("bank", "cid", "vec").mapInArrow(_route_rows(model, dim, 1), ROLES).groupBy("bank", "cell").count().filter(F.col("count") > PART)
@@ -340,9 +340,13 @@ def nearest_lists(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_c
     rest = classes.join(every, "bank", "left_anti").withColumn("parts", F.lit(-(-cell // PART)))
     found = _exact(rest, rest, dim, k)
     if known:
-        near = None
-        for a in range(0, len(known), BANKS):
-            some = classes.join(F.broadcast(spark.createDataFrame(known[a : a + BANKS], schema)), "bank")
+        near, some_banks = None, [[]]
+        for one in known:  # as many banks at a time as have MOST_CELLS cells together, each with its codebooks
+            if sum(x[2] + BOOKS * ENTRIES for x in [*some_banks[-1], one]) > MOST_CELLS + BOOKS * ENTRIES:
+                some_banks.append([])
+            some_banks[-1].append(one)
+        for banks in filter(None, some_banks):
+            some = classes.join(F.broadcast(spark.createDataFrame(banks, schema)), "bank")
             part = _approximate(some, dim, k, probes, rerank, sample)
             near = part if near is None else near.unionByName(part)
         near = materialize(_merged(near, k), "lists")

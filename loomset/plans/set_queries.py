@@ -237,7 +237,16 @@ def scene_rewrites(spark, d):
     return sets.as_original_and_rewrites(scenes).select("original_id", "original_text", F.size("rewrites").cast("bigint").alias("n_all"), F.get("rewrites", F.lit(0))["word_count"].cast("bigint").alias("first_words")).join(some, "original_id")
 
 
-@query("scene_controls")
+_CONTROLS = f"""(SELECT set_id, t.id AS view_id, unnest([{{'c': 'shuffled_image', 'm': ''}}, {{'c': 'same_language_different_image', 'm': coalesce(t.language, '')}}, {{'c': 'same_prompt_different_image', 'm': coalesce(replace(t.view_type, t.source_id || '__' || t.language || '__', ''), '')}}, {{'c': 'same_model_different_image', 'm': coalesce(t.source_id, '')}}], recursive := true)
+  FROM (SELECT set_id, unnest(texts) AS t FROM {_SCENES}))"""
+
+
+@query("scene_controls", f"""
+WITH r AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(set_id) OVER w = set_id THEN 0 ELSE 1 END AS starts FROM {_CONTROLS} WINDOW w AS (PARTITION BY c, m ORDER BY substr(sha256('0' || view_id || set_id), 1, 16), set_id, view_id)),
+q AS (SELECT *, sum(starts) OVER (PARTITION BY c, m ORDER BY n) AS run, sum(starts) OVER (PARTITION BY c, m) AS runs FROM r), h AS (SELECT c, m, run, set_id AS hs, view_id AS hv FROM q WHERE starts = 1),
+p AS (SELECT q.*, CASE WHEN one.hs <> q.set_id THEN one.hv WHEN two.hs <> q.set_id THEN two.hv END AS pick FROM q LEFT JOIN h one ON one.c = q.c AND one.m = q.m AND one.run = CASE WHEN q.run < q.runs THEN q.run + 1 ELSE 1 END LEFT JOIN h two ON two.c = q.c AND two.m = q.m AND two.run = 2),
+s AS (SELECT set_id, c, list(pick ORDER BY view_id) AS picks FROM p GROUP BY 1, 2 HAVING count(*) = count(pick))
+SELECT set_id, c AS control, c || '_' || substr(sha256(CAST(to_json(set_id || '|' || array_to_string(picks, '|')) AS VARCHAR)), 1, 16) AS control_id, array_to_string(picks, ',') AS picks, 'control_not_train' AS risk_tag, 'eval' AS usage FROM s""")
 def scene_controls(spark, d):
     views = _scenes(spark, d).select("set_id", F.explode("texts").alias("v")).select("set_id", F.col("v.id").alias("view_id"), F.col("v.metadata.language_code").alias("language"), F.col("v.metadata.prompt_view").alias("prompt_view"), F.col("v.source_id").alias("model"), F.lit("").alias("any"))
     views = materialize(views, "views")
@@ -339,3 +348,21 @@ def merged_shards(spark, d):
     rows = Q.attempts(spark, d).select("original_id", F.coalesce("model_name", F.lit("")).alias("m"), F.coalesce("length_band", F.lit("")).alias("b"), *_big("attempt_idx"))
     both = rows.filter("attempt_idx % 2 = 0").unionByName(rows.filter("attempt_idx % 2 = 1"))
     return selection.numbered(both, "original_id", "m", "b", "attempt_idx").select("original_id", "attempt_idx", "ord")
+
+
+@query("retried_slots", f"""
+WITH a AS (SELECT original_id, n AS attempt_idx, ['The company reported stronger results as demand grew abroad.', 'Officials confirmed the agreement after long talks on Monday.', 'Researchers found new evidence that supports the earlier claim.'][(length(coalesce(original_text, '')) + n) % 3 + 1] AS output_text FROM {Q.SETS_SQL}, (VALUES (0), (1)) AS t(n) WHERE original_id IS NOT NULL),
+ok AS (SELECT *, starts_with(output_text, 'Officials') AS accepted FROM a)
+SELECT original_id, attempt_idx, output_text, accepted FROM ok WHERE attempt_idx = 0 OR original_id NOT IN (SELECT original_id FROM ok WHERE attempt_idx = 0 AND accepted)""")
+def retried_slots(spark, d):
+    """Originals that are asked for again until an answer is accepted, twice at most, with the stand-in for a model."""
+    slots = Q.sets(spark, d).filter("original_id is not null").select("original_id", F.coalesce("original_text", F.lit("")).alias("original_text"), F.lit("stand-in").alias("model_id"))
+    ask = lambda n: F.concat("original_text", F.repeat(F.lit("?"), n))
+    got = generation.until_accepted(slots, ["original_id"], lambda _: generation.dry_run, ask, F.startswith("output_text", F.lit("Officials")), 2)
+    return got.select("original_id", "attempt_idx", "output_text", "accepted")
+
+
+@query("sampled_ids", f"SELECT id FROM (SELECT DISTINCT id FROM news_row WHERE id IS NOT NULL) ORDER BY substr(sha256('5' || id), 1, 16), id LIMIT 25")
+def sampled_ids(spark, d):
+    """A seeded sample of ids."""
+    return sampling.sampled_ids(table(spark, d, "news_row"), "id", 25, seed=5)

@@ -73,20 +73,34 @@ def set_codes(spark, d):
     return rows.select("key", "set_idx", F.array_join(V.top_places(F.col("z_dense"), TOPK), ",").alias("top"), F.round(V.dot(z, z), 5).alias("energy"))
 
 
-@query("pointwise_codes")
+def _literal(m: np.ndarray) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row) + "]" for row in m.tolist()) + "]"
+
+
+_WEIGHTS = np.random.default_rng(0).normal(size=(24, DIM)) / DIM**0.5
+_DECODER = np.random.default_rng(1).normal(size=(DIM, DIM)) / DIM
+
+
+@query("pointwise_codes", f"""
+WITH u AS (SELECT bank_id, set_idx, vec_id, list_transform(w, lambda r: list_dot_product(r, h)) AS u FROM {_VALID}, (SELECT {_literal(_WEIGHTS)} AS w)),
+n AS (SELECT *, list_sum(list_transform(u, lambda x: (x - mu) * (x - mu))) / 24 AS var FROM (SELECT *, list_sum(u) / 24 AS mu FROM u)),
+m AS (SELECT bank_id, set_idx, i, avg(v) AS v FROM (SELECT bank_id, set_idx, unnest(list_transform(u, lambda x: (x - mu) / sqrt(var + 1e-5))) AS v, generate_subscripts(u, 1) AS i FROM n) GROUP BY 1, 2, 3),
+z AS (SELECT bank_id, set_idx, list(v ORDER BY i) AS z FROM m GROUP BY 1, 2), t AS (SELECT *, {_TOP.format(z='z')} AS top FROM z)
+SELECT bank_id, set_idx, array_to_string(top, ',') AS top, round(sqrt(list_sum(list_transform(z, lambda x, i: CASE WHEN list_contains(top, i - 1) THEN x * x ELSE 0.0 END))), 5) AS norm FROM t""")
 def pointwise_codes(spark, d):
-    rng = np.random.default_rng(0)
-    weights = rng.normal(size=(24, DIM)) / DIM**0.5
+    weights = _WEIGHTS
     got = codes.encode_sets(_valid(spark, d), ["bank_id", "set_idx"], DIM, TOPK, weights=weights, bias=np.zeros(24), pointwise=True)
     return got.select("bank_id", "set_idx", F.array_join(V.top_places(F.col("z_dense"), TOPK), ",").alias("top"), F.round(V.norm(F.col("z")), 5).alias("norm"))
 
 
-@query("decoded_codes")
+@query("decoded_codes", f"""
+WITH r AS (SELECT m, list_transform(w, lambda c: list_dot_product(c, z)) AS recon FROM (SELECT key, set_idx, z FROM {_CODES}) c JOIN {_MEANS} v ON v.bank_id = c.key AND v.set_idx = c.set_idx, (SELECT {_literal(_DECODER.T)} AS w)),
+e AS (SELECT avg(list_sum(list_transform(list_zip(m, recon), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 48) AS mse, avg(list_sum(list_transform(m, lambda x: x * x)) / 48) AS energy FROM r)
+SELECT round(mse, 5) AS mse, round(energy, 5) AS input_energy, round(mse / energy, 5) AS normalized_mse FROM e""")
 def decoded_codes(spark, d):
     """Codes decoded by a shared matrix in numpy batches, and the error against the mean vectors."""
     vectors = _valid(spark, d)
-    rng = np.random.default_rng(1)
-    decoded = codes.multiply(_codes(spark, d), "z", rng.normal(size=(DIM, DIM)) / DIM, "recon")
+    decoded = codes.multiply(_codes(spark, d), "z", _DECODER, "recon")
     means = codes.mean_vectors(vectors, ["bank_id", "set_idx"], DIM).withColumnRenamed("bank_id", "key")
     rows = decoded.join(means, ["key", "set_idx"])
     out = codes.reconstruction(rows, "mean", "recon")
@@ -139,6 +153,65 @@ def transfer_identity(spark, d):
     return got.select("source_key", "target_key", "bridge", "n_test", *[F.round(c, 4).alias(c) for c in ("transfer_mse", "train_topk_overlap", "topk_overlap", "shuffled_topk_overlap", "cosine")])
 
 
+_RING = """(SELECT source_key, target_key, set_idx, {v} AS v, coalesce(lead({v}) OVER w, first_value({v}) OVER w) AS other FROM (SELECT *, substr(sha256('{seed}' || CAST(set_idx AS VARCHAR)), 1, 16) AS k FROM {p} WHERE NOT is_train) WINDOW w AS (PARTITION BY source_key, target_key ORDER BY k))"""
+_UNIT = "list_transform({v}, lambda q: q / greatest(sqrt(list_dot_product({v}, {v})), 1e-12))"
+_COSINE = "(list_dot_product({a}, {b}) / (greatest(sqrt(list_dot_product({a}, {a})), 1e-12) * greatest(sqrt(list_dot_product({b}, {b})), 1e-12)))"
+_MOVED = "list_transform(list_zip(t, {d}), lambda p: p[1] + alpha * p[2])"
+
+
+@query("steered_identity", f"""
+WITH p AS (SELECT source_key, target_key, set_idx, is_train, {_UNIT.format(v='x')} AS dir, {_UNIT.format(v='y')} AS t FROM {_PAIRS}), ok AS (SELECT source_key, target_key FROM p GROUP BY 1, 2 HAVING count(CASE WHEN is_train THEN 1 END) >= 2),
+r AS {_RING.format(v='dir', seed=1, p='p')}, e AS (SELECT r.*, p.t, alpha FROM r JOIN p USING (source_key, target_key, set_idx) JOIN ok USING (source_key, target_key), (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (5.0::DOUBLE)) AS a(alpha)),
+m AS (SELECT source_key, target_key, alpha, v, other, {_MOVED.format(d='v')} AS a, {_MOVED.format(d='other')} AS b FROM e)
+SELECT source_key, target_key, alpha AS steering_alpha, round(avg({_COSINE.format(a='a', b='v')}), 5) AS structured_similarity, round(avg({_COSINE.format(a='b', b='other')}), 5) AS random_similarity FROM m GROUP BY 1, 2, 3""")
+def steered_identity(spark, d):
+    """Targets moved along the source's code as it is, and along that of another set."""
+    got = transfer.evaluate(_split_codes(spark, d), ("identity",), TOPK, alphas=(0.0, 1.0, 5.0))
+    return got.select("source_key", "target_key", "steering_alpha", F.round("structured_similarity", 5).alias("structured_similarity"), F.round("random_similarity", 5).alias("random_similarity"))
+
+
+@query("bridge_checks", f"SELECT source_key, target_key, bridge, count(*) AS n_train, 0.0::DOUBLE AS off FROM {_PAIRS}, (VALUES ('identity'), ('procrustes'), ('ridge')) AS b(bridge) WHERE is_train GROUP BY 1, 2, 3 HAVING count(*) >= 2")
+def bridge_checks(spark, d):
+    """What must hold of fitted bridges, as the share by which it fails: a rotation and the identity leave lengths as they
+    are; of a ridge solution W, the sum over rows of xW (xW - y) and the ridge times WW come to nothing."""
+    pairs = materialize(transfer.code_pairs(_split_codes(spark, d)).filter("is_train"), "pairs")
+    bridges = materialize(transfer.fit_bridges(transfer.grams(pairs), transfer.BRIDGES), "bridges")
+    mapped = transfer.map_codes(pairs.select("source_key", "target_key", "set_idx", "is_train", "x", "y"), bridges)
+    m, x, y = F.col("mapped"), F.col("x"), F.col("y")
+    sums = mapped.groupBy("source_key", "target_key", "bridge").agg(F.count("*").alias("n_train"), F.sum(V.dot(m, m)).alias("mm"), F.sum(V.dot(m, y)).alias("my"), F.sum(V.dot(x, x)).alias("xx"))
+    weights = bridges.select("source_key", "target_key", "bridge", V.dot(F.col("matrix"), F.col("matrix")).alias("ww"))
+    off = F.when(F.col("bridge") == "ridge", F.col("mm") - F.col("my") + F.col("ww")).otherwise(F.col("mm") - F.col("xx")) / F.col("xx")
+    return sums.join(weights, ["source_key", "target_key", "bridge"]).select("source_key", "target_key", "bridge", "n_train", F.abs(F.round(off, 6)).alias("off"))
+
+
+_SCORES = """(abs(sum({a} * {b})) / sqrt(sum({a} * {a}) * sum({b} * {b})))"""
+
+
+@query("inspected_identity", f"""
+WITH p AS {_PAIRS}, r AS {_RING.format(v='y', seed=0, p='p')}, c AS (SELECT source_key, target_key, set_idx, unnest(p.x) AS m, unnest(p.y) AS y, unnest(r.other) AS s, generate_subscripts(p.x, 1) - 1 AS dim FROM r JOIN p USING (source_key, target_key, set_idx)),
+k AS (SELECT *, row_number() OVER (w ORDER BY abs(m) DESC, set_idx) <= 10 AS tm, row_number() OVER (w ORDER BY abs(y) DESC, set_idx) <= 10 AS ty, row_number() OVER (w ORDER BY abs(s) DESC, set_idx) <= 10 AS ts FROM c WINDOW w AS (PARTITION BY source_key, target_key, dim)),
+g AS (SELECT source_key, target_key, dim, CASE WHEN sum(abs(m)) = 0 OR sum(abs(y)) = 0 THEN 0.0 ELSE {_SCORES.format(a='m', b='y')} END AS a, CASE WHEN sum(abs(m)) = 0 OR sum(abs(s)) = 0 THEN 0.0 ELSE {_SCORES.format(a='m', b='s')} END AS b,
+  count(CASE WHEN tm AND ty THEN 1 END) / least(10, count(*)) AS o, count(CASE WHEN tm AND ts THEN 1 END) / least(10, count(*)) AS q, avg(CASE WHEN y <> 0 THEN 1.0 ELSE 0.0 END) AS fy, avg(CASE WHEN m <> 0 THEN 1.0 ELSE 0.0 END) AS fx FROM k GROUP BY 1, 2, 3)
+SELECT source_key, target_key, dim AS target_concept_dim, dim AS source_concept_dim, round(a, 4) AS alignment, round(b, 4) AS shuffled_alignment, round(o, 4) AS top_example_overlap, round(q, 4) AS shuffled_top_example_overlap, round(fy, 4) AS target_active_freq, round(fx, 4) AS source_active_freq, round(a - b + o - q, 3) AS inspection_score
+FROM g WHERE (source_key, target_key) IN (SELECT (source_key, target_key) FROM p WHERE is_train GROUP BY source_key, target_key HAVING count(*) >= 2)""")
+def inspected_identity(spark, d):
+    """All concepts of all pairs of banks under the identity."""
+    rows = _split_codes(spark, d)
+    chosen = materialize(transfer.code_pairs(rows).select("source_key", "target_key").distinct(), "chosen")
+    got = transfer.inspect_pairs(rows, chosen, method="identity")
+    big = lambda c: F.col(c).cast("bigint").alias(c)
+    return got.select("source_key", "target_key", big("target_concept_dim"), big("source_concept_dim"), *[F.round(c, 4).alias(c) for c in ("alignment", "shuffled_alignment", "top_example_overlap", "shuffled_top_example_overlap", "target_active_freq", "source_active_freq")], F.round("inspection_score", 3).alias("inspection_score"))
+
+
+@query("pair_relations", "SELECT DISTINCT a.f AS source_family, b.f AS target_family, CASE WHEN a.f = b.f THEN 'within_family' ELSE 'cross_family' END AS relation FROM (SELECT DISTINCT split_part(bank_id, '_', 1) AS f FROM activation_bank) a, (SELECT DISTINCT split_part(bank_id, '_', 1) AS f FROM activation_bank) b")
+def pair_relations(spark, d):
+    """How families stand to each other; a few names, one by one."""
+    rows = table(spark, d, "activation_bank").select("bank_id").distinct().withColumns(codes.bank_parts(F.col("bank_id"))).select("family").distinct()
+    names = rows.agg(F.collect_set("family").alias("f"))
+    both = names.select(F.explode("f").alias("source_family"), "f").select("source_family", F.explode("f").alias("target_family"))
+    return both.withColumn("relation", transfer.relation(F.col("source_family"), F.col("target_family")))
+
+
 def _results(spark, d):
     got = transfer.evaluate(_split_codes(spark, d), transfer.BRIDGES, TOPK, alphas=(0.0, 1.0, 5.0))
     parts = {f"{side}_{c}": e for side in ("source", "target") for c, e in codes.bank_parts(F.col(f"{side}_key")).items() if c in ("family", "layer")}
