@@ -163,7 +163,7 @@ _MOVED = "list_transform(list_zip(t, {d}), lambda p: p[1] + alpha * p[2])"
 WITH p AS (SELECT source_key, target_key, set_idx, is_train, {_UNIT.format(v='x')} AS dir, {_UNIT.format(v='y')} AS t FROM {_PAIRS}), ok AS (SELECT source_key, target_key FROM p GROUP BY 1, 2 HAVING count(CASE WHEN is_train THEN 1 END) >= 2),
 r AS {_RING.format(v='dir', seed=1, p='p')}, e AS (SELECT r.*, p.t, alpha FROM r JOIN p USING (source_key, target_key, set_idx) JOIN ok USING (source_key, target_key), (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (5.0::DOUBLE)) AS a(alpha)),
 m AS (SELECT source_key, target_key, alpha, v, other, {_MOVED.format(d='v')} AS a, {_MOVED.format(d='other')} AS b FROM e)
-SELECT source_key, target_key, alpha AS steering_alpha, round(avg({_COSINE.format(a='a', b='v')}), 5) AS structured_similarity, round(avg({_COSINE.format(a='b', b='other')}), 5) AS random_similarity FROM m GROUP BY 1, 2, 3""")
+SELECT source_key, target_key, alpha AS steering_alpha, round(avg({_COSINE.format(a='a', b='v')}), 5) AS structured_similarity, round(avg({_COSINE.format(a='b', b='v')}), 5) AS random_similarity FROM m GROUP BY 1, 2, 3""")
 def steered_identity(spark, d):
     """Targets moved along the source's code as it is, and along that of another set."""
     got = transfer.evaluate(_split_codes(spark, d), ("identity",), TOPK, alphas=(0.0, 1.0, 5.0))
