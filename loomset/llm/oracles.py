@@ -75,4 +75,17 @@ P10_COVERAGE = f"""WITH {_WINDOWS}, k AS (SELECT h FROM w GROUP BY h HAVING min(
 c AS (SELECT doc_id, sum(least(320, coalesce(nx - i, 320))) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM s) GROUP BY 1)
 SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shared, CASE WHEN length(text) > 0 THEN round(coalesce(c.n, 0) / length(text), 6) ELSE 0.0 END AS share FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id"""
 
-SQL = {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED, "p6_found": P6_FOUND, "p6_report": P6_REPORT, "p9_found": P9_FOUND, "p9_spans": P9_SPANS, "p10_found": P10_FOUND, "p10_coverage": P10_COVERAGE}
+_VECTORS = "(SELECT bank_id AS bank, vec_id AS id, list_transform(hidden[1:48], lambda x: x::DOUBLE) AS h FROM activation_bank WHERE hidden IS NOT NULL AND length(hidden) >= 48 AND bank_id IS NOT NULL AND length(list_filter(hidden[1:48], lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND length(list_filter(hidden[1:48], lambda x: x <> 0)) > 0)"
+_NEAR = f"""(SELECT a.bank, a.id, row_number() OVER (PARTITION BY a.bank, a.id ORDER BY round(list_dot_product(a.u, b.u), 9) DESC, b.id) - 1 AS rank, b.id AS neighbour, round(list_dot_product(a.u, b.u), 9) AS sim FROM v a JOIN v b ON a.bank = b.bank AND a.id <> b.id)"""
+_UNITS = f"v AS (SELECT bank, id, list_transform(h, lambda x: x / sqrt(list_dot_product(h, h))) AS u FROM {_VECTORS})"
+P7_LISTS = f"WITH {_UNITS} SELECT bank, id, rank, neighbour, sim FROM {_NEAR} WHERE rank < 10"
+P7_FOUND = f"WITH {_UNITS} SELECT DISTINCT least(id, neighbour) AS vec_a, greatest(id, neighbour) AS vec_b FROM {_NEAR} WHERE rank < 10"
+
+#: The total of the test split is that of the groups whose sizes come closest to a tenth of all records.
+P3_TOTALS = f"""WITH RECURSIVE f AS ({P3_FOUND}), n AS (SELECT (SELECT count(*) FROM (SELECT set_id FROM latent_set WHERE set_id IS NOT NULL GROUP BY 1)) + (SELECT count(*) FROM (SELECT original_id FROM semantic_set_view WHERE original_id IS NOT NULL GROUP BY 1)) AS total),
+s AS (SELECT row_number() OVER (ORDER BY n) AS i, n FROM (SELECT count(*) AS n FROM f GROUP BY group_key)), one AS (SELECT (SELECT total FROM n) - (SELECT count(*) FROM f) AS singles), goal AS (SELECT CAST(round_even(total * 0.1, 0) AS BIGINT) AS t FROM n),
+reach(i, total) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT s.i, r.total + k.take * s.n FROM reach r JOIN s ON s.i = r.i + 1, (VALUES (0), (1)) AS k(take) WHERE r.total + k.take * s.n <= (SELECT 2 * t FROM goal)),
+best AS (SELECT min(abs(total + least(singles, greatest(t - total, 0)) - t)) AS off FROM reach, one, goal WHERE i = (SELECT coalesce(max(i), 0) FROM s))
+SELECT total AS n_records, t AS goal, off FROM n, goal, best"""
+
+SQL = {"p1_found": P1_FOUND, "p1_groups": P1_GROUPS, "p3_found": P3_FOUND, "p3_totals": P3_TOTALS, "p7_found": P7_FOUND, "p7_lists": P7_LISTS, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED, "p6_found": P6_FOUND, "p6_report": P6_REPORT, "p9_found": P9_FOUND, "p9_spans": P9_SPANS, "p10_found": P10_FOUND, "p10_coverage": P10_COVERAGE}

@@ -98,6 +98,13 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(_sourced(spark, sf_dir))
 
 
+def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records there are, how many a test split of a tenth should have, and by how many it misses that."""
+    given = splits.assign_splits(_sourced(spark, sf_dir)).agg(F.count("*").alias("n_records"), F.count(F.when(F.col("split") == "test", 1)).alias("n_test"))
+    goal = F.bround(F.col("n_records") * 0.1).cast("bigint")
+    return given.select("n_records", goal.alias("goal"), F.abs(F.col("n_test") - goal).alias("off"))
+
+
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     news = table(spark, sf_dir, "news_row").select(F.lit("news").alias("kind"), F.col("id").alias("key"), F.lit(0).cast("bigint").alias("num"), F.col("fetched_at").alias("at"), "text")
     rejected = table(spark, sf_dir, "rejected").select(F.lit("rejected").alias("kind"), F.col("source_index").cast("string").alias("key"), F.col("source_index").cast("bigint").alias("num"), F.col("logged_at").alias("at"), F.col("claim").alias("text"))
@@ -170,7 +177,7 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_report, p5_found, p5_collapsed, p6_found, p6_report, p6_spans, p7_found, p7_lists, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_report, p3_found, p3_splits, p3_totals, p4_found, p4_report, p5_found, p5_collapsed, p6_found, p6_report, p6_spans, p7_found, p7_lists, p8_ids, p9_found, p9_spans, p10_found, p10_coverage)}
 
 
 def oracle_sql() -> dict[str, str]:
