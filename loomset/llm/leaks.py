@@ -28,6 +28,7 @@ from loomset.llm.fmindex import FMIndex, ranges
 
 WORDS = re.compile(r"[^\W_]+").findall
 SHARD_SYMBOLS = 1_000_000
+SPANS_AT_ONCE = 1 << 20
 
 
 def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
@@ -57,11 +58,25 @@ def _patterns(block: list[tuple[int, list[str]]], min_words: int) -> tuple[dict[
     return vocabulary, np.array(lines, dtype=np.int64).reshape(-1, min_words), np.array(owner, dtype=np.int64)
 
 
+class _Passages:
+    """The distinct passages of a block of items, and the items each is of: one passage of many items is searched and
+    located once."""
+
+    def __init__(self, vocabulary: dict[str, int], patterns: np.ndarray, owner: np.ndarray):
+        self.vocabulary = vocabulary
+        self.patterns, of = np.unique(patterns, axis=0, return_inverse=True)
+        of = of.reshape(-1)
+        both = np.unique(np.stack((of, owner), axis=1), axis=0) if len(of) else np.zeros((0, 2), dtype=np.int64)
+        self.items = both[:, 1]
+        self.count = np.bincount(both[:, 0], minlength=len(self.patterns)) if len(of) else np.zeros(0, dtype=np.int64)
+        self.first = np.cumsum(self.count) - self.count
+
+
 class _Shard:
     """Documents as one sequence of symbols, without runs of separators."""
 
-    def __init__(self, vocabulary: dict[str, int], min_words: int):
-        self.get, self.min_words = vocabulary.get, min_words
+    def __init__(self, passages: _Passages, min_words: int):
+        self.passages, self.min_words = passages, min_words
         self.reset()
 
     def reset(self) -> None:
@@ -79,26 +94,37 @@ class _Shard:
         self.places += [at, np.zeros(1, dtype=np.int64)]
         self.size += len(at) + 1
 
-    def find(self, patterns: np.ndarray, owner: np.ndarray) -> dict[str, np.ndarray]:
+    def find(self) -> Iterator[dict[str, np.ndarray]]:
         """Merged spans: doc, item, first word, words."""
-        if self.size == 0 or len(patterns) == 0:
-            return {}
+        p = self.passages
+        if self.size == 0 or len(p.patterns) == 0:
+            return
         index = FMIndex(np.concatenate(self.parts))
-        lo, hi = index.search(patterns)
-        rows, of = ranges(lo, hi)
+        rows, of = ranges(*index.search(p.patterns))  # a place holds one passage at most: no more rows than symbols
         if len(rows) == 0:
-            return {}
+            return
         pos = index.locate(rows)
-        doc = np.searchsorted(np.array(self.starts), pos, side="right") - 1
-        word = np.concatenate(self.places)[pos]
-        item = owner[of]
-        order = np.lexsort((word, item, doc))
-        doc, item, word = doc[order], item[order], word[order]
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + self.min_words)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1
-        return {"doc": np.array(self.docs)[doc[first]], "item": item[first], "first_word": word[first], "n_words": word[last] + self.min_words - word[first]}
+        order = np.argsort(pos)
+        pos, of = pos[order], of[order]
+        at = np.searchsorted(np.array(self.starts), pos, side="right") - 1
+        place = np.concatenate(self.places)[pos]
+        # the items of each place, some documents at a time
+        total = np.cumsum(p.count[of])
+        ends = np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at))
+        a = 0
+        while a < len(at):
+            room = np.searchsorted(total, (total[a - 1] if a else 0) + SPANS_AT_ONCE, side="right")
+            z = int(ends[max(np.searchsorted(ends, room, side="right") - 1, np.searchsorted(ends, a, side="right"))])
+            item_at, hit = ranges(p.first[of[a:z]], p.first[of[a:z]] + p.count[of[a:z]])
+            doc, item, word = at[a:z][hit], p.items[item_at], place[a:z][hit]
+            order = np.lexsort((word, item, doc))
+            doc, item, word = doc[order], item[order], word[order]
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + self.min_words)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(doc)) - 1
+            yield {"doc": np.array(self.docs)[doc[first]], "item": item[first], "first_word": word[first], "n_words": word[last] + self.min_words - word[first]}
+            a = z
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 12, block_words: int = 200_000) -> DataFrame:
@@ -108,20 +134,21 @@ def leaked_spans(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id"
     spark = documents.sparkSession
     found = None
     for block in _blocks(items.select(F.col(item_col).cast("bigint"), item_text), block_words):
-        part = documents.select(F.col(doc_col).cast("bigint"), text_col).mapInArrow(_search(*_patterns(block, min_words), min_words), schema)
+        passages = spark.sparkContext.broadcast(_Passages(*_patterns(block, min_words)))  # of at most ``block_words`` words, or one item
+        part = documents.select(F.col(doc_col).cast("bigint"), text_col).mapInArrow(_search(passages, min_words), schema)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def _search(vocabulary: dict[str, int], patterns: np.ndarray, owner: np.ndarray, min_words: int):
+def _search(passages, min_words: int):
     step = SHARD_SYMBOLS - min_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard(vocabulary, min_words)
-        get = vocabulary.get
+        shard = _Shard(passages.value, min_words)
+        get = passages.value.vocabulary.get
 
         def emit() -> Iterator[pa.RecordBatch]:
-            if got := shard.find(patterns, owner):
+            for got in shard.find():
                 yield pa.RecordBatch.from_arrays([pa.array(got[c].astype(np.int64)) for c in ("doc", "item", "first_word", "n_words")], names=["doc_id", "item_id", "first_word", "n_words"])
             shard.reset()
 

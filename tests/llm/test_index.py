@@ -111,9 +111,11 @@ def test_documents_longer_than_a_shard(monkeypatch):
     monkeypatch.setattr(leaks, "SHARD_SYMBOLS", 64)
     import pyarrow as pa
 
-    vocabulary, patterns, owner = leaks._patterns([(1, [f"a{i}" for i in range(8)])], 6)
+    from types import SimpleNamespace
+
+    passages = SimpleNamespace(value=leaks._Passages(*leaks._patterns([(1, [f"a{i}" for i in range(8)])], 6)))
     text = " ".join(["a0"] * 100 + [f"a{i}" for i in range(8)] + ["a1"] * 150 + [f"a{i}" for i in range(1, 7)])
-    out = list(leaks._search(vocabulary, patterns, owner, 6)(iter([pa.record_batch([pa.array([7]), pa.array([text])], names=["d", "t"])])))
+    out = list(leaks._search(passages, 6)(iter([pa.record_batch([pa.array([7]), pa.array([text])], names=["d", "t"])])))
     got = {(a, b) for x in out for a, b in zip(x.column(2).to_pylist(), x.column(3).to_pylist())}
     covered = {w for a, n in got for w in range(a, a + n)}
     assert covered == set(range(100, 108)) | set(range(258, 264))
@@ -171,3 +173,62 @@ def test_many_copies_of_a_segment(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert {tuple(r) for r in spans.shared_pairs(df, min_chars=40, phrase_chars=12).collect()} == span_pairs(docs, 40)
     assert spans.shared_pairs(df.limit(0)).count() == 0 and spans.coverage(df.limit(0)).count() == 0
+
+
+def test_a_passage_that_many_items_share(spark, monkeypatch):
+    words = " ".join(f"w{i}" for i in range(9))
+    items = spark.createDataFrame([(i, f"own{i} {words}") for i in range(200)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"{words} and {words}" if i % 3 else "other") for i in range(60)], "doc_id bigint, text string")
+    monkeypatch.setattr(leaks, "SPANS_AT_ONCE", 50)
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(leaks)
+    try:
+        got = {tuple(r) for r in leaks.leaked_spans(docs, items, min_words=6).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(leaks)
+    assert got == {(d, i, at, 9) for d in range(60) if d % 3 for i in range(200) for at in (0, 10)}
+
+
+def test_places_come_from_the_automaton(spark, monkeypatch):
+    """Without it nothing is found: the hashes say which phrases a shard needs, not where they are."""
+    import ahocorasick
+
+    docs = make_docs(1)
+
+    class Blind:
+        def __init__(self):
+            self.words = 0
+
+        def add_word(self, *_):
+            self.words += 1
+
+        def __len__(self):
+            return self.words
+
+        def make_automaton(self):
+            pass
+
+        def iter(self, _):
+            return iter(())
+
+    import pyarrow as pa
+
+    text = dict(docs)[3]
+    shard = pa.table({"shard": [0, 0], "doc": [1, 2], "text": ["x" + text, text + "y"]})
+    phrases = pa.table({"shard": [0], "h": pa.array([5], pa.int64()), "doc": [2], "pos": [0], "n": [2]})
+    found = spans._locate(40, 12)(shard, phrases)
+    places = {(d, a) for ds, at in zip(found.column("docs").to_pylist(), found.column("at").to_pylist()) for d, a in zip(ds, at)}
+    assert {(1, 1), (2, 0)} <= places  # document 1 was never said to have it
+    monkeypatch.setattr(ahocorasick, "Automaton", Blind)
+    assert spans._locate(40, 12)(shard, phrases).num_rows == 0
+
+
+def test_many_contexts_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "GROUP", 4)
+    docs = make_docs(2)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {tuple(r) for r in spans.shared_pairs(df, min_chars=40, phrase_chars=12).collect()} == span_pairs(docs, 40)
+    want = {r["doc_id"]: r["n_shared"] for r in spans.coverage(df, min_chars=40, phrase_chars=12).collect()}
+    monkeypatch.setattr(spans, "GROUP", 20_000)
+    assert want == {r["doc_id"]: r["n_shared"] for r in spans.coverage(df, min_chars=40, phrase_chars=12).collect()}
