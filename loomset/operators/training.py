@@ -57,18 +57,31 @@ def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :mid], x[:, mid:]
 
 
+def _unit_back(y: np.ndarray, length: np.ndarray, g: np.ndarray, axis: int) -> np.ndarray:
+    """The gradient through ``unit``, whose value is ``y``."""
+    return (g - y * (g * y).sum(axis=axis, keepdims=True)) / length
+
+
 class SetCoder:
-    """Encodes sets of vectors (sets x views x dim) to sparse codes and back."""
+    """Encodes sets of vectors (sets x views x dim) to sparse codes and back. Each view keeps a residual of its own, of
+    low rank where ``rank`` is given."""
 
-    def __init__(self, dim: int, concepts: int = 128, topk: int = 32, residual_scale: float = 0.05, seed: int = 0):
+    def __init__(self, dim: int, concepts: int = 128, topk: int = 32, residual_scale: float = 0.05, seed: int = 0, rank: int | None = None):
         rng = np.random.default_rng(seed)
-        bound = np.sqrt(6 / (dim + concepts))
-        draw = lambda a, b: rng.uniform(-bound, bound, (a, b))
-        self.p = {"enc": draw(dim, concepts), "enc_b": np.zeros(concepts), "dec": draw(concepts, dim), "dec_b": np.zeros(dim), "res": draw(concepts, dim)}
+
+        def draw(a: int, b: int) -> np.ndarray:
+            bound = np.sqrt(6 / (a + b))
+            return rng.uniform(-bound, bound, (a, b))
+
+        self.p = {"enc": draw(dim, concepts), "enc_b": np.zeros(concepts), "dec": draw(concepts, dim), "dec_b": np.zeros(dim)}
+        self.p |= {"res": draw(concepts, dim)} if rank is None else {"down": draw(concepts, rank), "up": draw(rank, dim)}
         self.topk, self.residual_scale = min(topk, concepts), residual_scale
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         self.steps = 0
 
+    def _residual(self) -> np.ndarray:
+        return self.p["res"] if "res" in self.p else self.p["down"] @ self.p["up"]
+
     def forward(self, x: np.ndarray) -> dict[str, np.ndarray]:
         u = x @ self.p["enc"] + self.p["enc_b"]
         pooled = u.mean(axis=1)
@@ -79,8 +92,8 @@ class SetCoder:
         np.put_along_axis(kept, np.argsort(-np.abs(dense), axis=1, kind="stable")[:, : self.topk], True, axis=1)
         z = dense * kept
         shared = z @ self.p["dec"] + self.p["dec_b"]
-        residual = u @ self.p["res"] * self.residual_scale
-        return {"u": u, "dense": dense, "spread": spread, "kept": kept, "z": z, "shared": shared, "recon": shared[:, None] + residual}
+        residual = u @ self._residual() * self.residual_scale
+        return {"x": x, "u": u, "dense": dense, "spread": spread, "kept": kept, "z": z, "shared": shared, "recon": shared[:, None] + residual}
 
     def losses(self, x: np.ndarray, negative: np.ndarray | None = None) -> dict[str, float]:
         out = self.forward(x)
@@ -93,50 +106,112 @@ class SetCoder:
         }
         return parts | {"total": sum(LOSS_WEIGHTS[k] * v for k, v in parts.items())}
 
-    def step(self, x: np.ndarray, rate: float = 1e-3) -> float:
-        """One step down the two reconstruction errors, with moment estimates; gives their weighted sum."""
-        out = self.forward(x)
+    def _encoder_back(self, out: dict[str, np.ndarray], g_z: np.ndarray, g_u: np.ndarray | float, grads: dict[str, np.ndarray]) -> None:
+        """Adds what a gradient of the codes, and one of the encoded views, means for the encoder."""
+        n, views, dim = out["x"].shape
+        g, y = g_z * out["kept"], out["dense"]
+        g_pooled = (g - g.mean(axis=1, keepdims=True) - y * (g * y).mean(axis=1, keepdims=True)) / out["spread"]
+        flat = (np.broadcast_to(g_pooled[:, None] / views, (n, views, g.shape[1])) + g_u).reshape(n * views, -1)
+        grads["enc"] += out["x"].reshape(n * views, dim).T @ flat
+        grads["enc_b"] += flat.sum(axis=0)
+
+    def gradients(self, x: np.ndarray, negative: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the total loss by every parameter."""
+        w = LOSS_WEIGHTS
         n, views, dim = x.shape
-        d_shared = LOSS_WEIGHTS["shared_recon"] * 2 * (out["shared"][:, None] - x) / x.size
-        d_full = LOSS_WEIGHTS["full_recon"] * 2 * (out["recon"] - x) / x.size
-        g_shared = (d_shared + d_full).sum(axis=1)
-        flat_u = out["u"].reshape(n * views, -1)
-        g_res = d_full.reshape(n * views, dim) * self.residual_scale
-        g_dense = (g_shared @ self.p["dec"].T) * out["kept"]
-        y = out["dense"]
-        g_pooled = (g_dense - g_dense.mean(axis=1, keepdims=True) - y * (g_dense * y).mean(axis=1, keepdims=True)) / out["spread"]
-        g_u = (g_pooled[:, None] / views + (g_res @ self.p["res"].T).reshape(n, views, -1)).reshape(n * views, -1)
-        grads = {"enc": x.reshape(n * views, dim).T @ g_u, "enc_b": g_u.sum(axis=0), "dec": out["z"].T @ g_shared, "dec_b": g_shared.sum(axis=0), "res": flat_u.T @ g_res}
+        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
+        out = self.forward(x)
+        shared, residual = out["shared"][:, None], out["recon"] - out["shared"][:, None]
+        d_full = w["full_recon"] * 2 * (out["recon"] - x) / x.size
+        g_shared = (w["shared_recon"] * 2 * (shared - x) / x.size + d_full).sum(axis=1)
+        g_res = ((d_full + w["residual_energy"] * 2 * residual / x.size) * self.residual_scale).reshape(n * views, dim)
+        grads["dec"] += out["z"].T @ g_shared
+        grads["dec_b"] += g_shared.sum(axis=0)
+        g_matrix = out["u"].reshape(n * views, -1).T @ g_res
+        if "res" in self.p:
+            grads["res"] += g_matrix
+        else:
+            grads["down"] += g_matrix @ self.p["up"].T
+            grads["up"] += self.p["down"].T @ g_matrix
+        g_z = g_shared @ self.p["dec"].T
+        if n >= 2:  # columns that point apart
+            length = np.maximum(np.linalg.norm(out["z"], axis=0, keepdims=True), 1e-12)
+            c = out["z"] / length
+            off = c.T @ c - np.eye(c.shape[1])
+            g_z = g_z + w["offdiag"] * _unit_back(c, length, 4 * c @ off / off.size, 0)
+        self._encoder_back(out, g_z, (g_res @ self._residual().T).reshape(n, views, -1), grads)
+
+        a, b = (self.forward(h) for h in halves(x))
+        la, lb = (np.maximum(np.linalg.norm(o["z"], axis=1, keepdims=True), 1e-12) for o in (a, b))
+        ua, ub = a["z"] / la, b["z"] / lb
+        logits = ua @ ub.T / 0.07
+        soft = lambda m: np.exp(m - m.max(axis=1, keepdims=True)) / np.exp(m - m.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)
+        g_logits = (soft(logits) + soft(logits.T).T - 2 * np.eye(n)) / (2 * n * 0.07)
+        g_ua, g_ub = g_logits @ ub, g_logits.T @ ua
+        if negative is not None:
+            o = self.forward(negative)
+            ln = np.maximum(np.linalg.norm(o["z"], axis=1, keepdims=True), 1e-12)
+            un = o["z"] / ln
+            short = (0.2 + (ua * un).sum(axis=1) - (ua * ub).sum(axis=1) > 0)[:, None] / n
+            g_ua, g_ub = g_ua + short * (un - ub), g_ub - short * ua
+            self._encoder_back(o, w["contrastive"] * _unit_back(un, ln, short * ua, 1), 0.0, grads)
+        s = [1 / (1 + np.exp(-np.abs(o["z"]))) for o in (a, b)]
+        apart = w["support_consistency"] * 2 * (s[0] - s[1]) / s[0].size
+        for o, u, length, g, side, sign in ((a, ua, la, g_ua, s[0], 1), (b, ub, lb, g_ub, s[1], -1)):
+            self._encoder_back(o, w["contrastive"] * _unit_back(u, length, g, 1) + sign * apart * side * (1 - side) * np.sign(o["z"]), 0.0, grads)
+        return grads
+
+    def step(self, x: np.ndarray, rate: float = 1e-3, negative: np.ndarray | None = None, decay: float = 0.0) -> None:
+        """One step down the total loss, with moment estimates; weights decay apart from it."""
         self.steps += 1
-        for k, g in grads.items():
+        for k, g in self.gradients(x, negative).items():
             m, v = self.moments[k]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
+            self.p[k] *= 1 - rate * decay
             self.p[k] -= rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)
-        return float(LOSS_WEIGHTS["shared_recon"] * ((out["shared"][:, None] - x) ** 2).mean() + LOSS_WEIGHTS["full_recon"] * ((out["recon"] - x) ** 2).mean())
 
 
-def train_banks(vectors: DataFrame, dim: int, concepts: int = 64, topk: int = 8, epochs: int = 10, batch: int = 64, sample_sets: int = 5_000, views: int = 2, seed: int = 0) -> DataFrame:
-    """``bank_id, epoch, loss, n_sets`` of a model trained for each bank of ``bank_id, set_idx, view_idx, hidden``.
-    Each bank is trained by one task on at most ``sample_sets`` of its sets, taken by hash order, each with its
-    first ``views`` views; sets with fewer are left out."""
+def train_banks(vectors: DataFrame, dim: int, concepts: int = 64, topk: int = 8, epochs: int = 10, batch: int = 64, sample_sets: int = 5_000, seed: int = 0, rate: float = 1e-3, decay: float = 1e-4, rank: int | None = None, part: float = 0.8) -> DataFrame:
+    """``bank_id, epoch, part, train_loss, test_loss, n_train, n_test``: the parts of the loss, and their total, after
+    each epoch of a model trained for each bank of ``bank_id, set_idx, view_idx, hidden``. Each bank is trained by one
+    task on at most ``sample_sets`` of its sets, taken by hash order; of these the first ``part`` by set train and
+    the others test. Sets are batched with those of as many views, whatever their number; the negatives of a batch are
+    its own sets in another order."""
     order = T.order_key(F.col("bank_id"), F.col("set_idx").cast("string"), seed=seed)
-    ranked = vectors.withColumn("_v", F.row_number().over(W.partitionBy("bank_id", "set_idx").orderBy("view_idx"))).filter(F.col("_v") <= views)
-    sets = ranked.groupBy("bank_id", "set_idx").agg(F.array_sort(F.collect_list(F.struct("_v", F.col("hidden").cast("array<double>").alias("h")))).alias("vs")).filter(F.size("vs") == views)
-    few = sets.withColumn("_r", F.row_number().over(W.partitionBy("bank_id").orderBy(order))).filter(F.col("_r") <= sample_sets)
-    flat = few.select("bank_id", "_r", F.flatten(F.transform("vs", lambda v: v["h"])).alias("x"))
+    keys = vectors.select("bank_id", "set_idx").distinct().withColumn("_r", F.row_number().over(W.partitionBy("bank_id").orderBy(order))).filter(F.col("_r") <= sample_sets).drop("_r")
+    few = vectors.join(keys, ["bank_id", "set_idx"], "left_semi")
+    sets = few.groupBy("bank_id", "set_idx").agg(F.array_sort(F.collect_list(F.struct("view_idx", F.col("hidden").cast("array<double>").alias("h")))).alias("vs"))
+    flat = sets.select("bank_id", "set_idx", F.size("vs").alias("views"), F.flatten(F.transform("vs", lambda v: v["h"])).alias("x"))
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("_r")
-        x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, views, dim)
-        model, rng = SetCoder(dim, concepts, topk, seed=seed), np.random.default_rng(seed)
-        losses = []
-        for _ in range(epochs):
-            at = rng.permutation(len(x))
-            losses.append(float(np.mean([model.step(x[at[a : a + batch]]) for a in range(0, len(x), batch)])))
-        return pa.table({"bank_id": pa.array([key[0].as_py()] * epochs), "epoch": pa.array(range(1, epochs + 1), pa.int32()), "loss": losses, "n_sets": pa.array([len(x)] * epochs, pa.int64())})
-
-    return flat.groupBy("bank_id").applyInArrow(run, "bank_id string, epoch int, loss double, n_sets bigint")
+        rows = rows.sort_by("set_idx")
+        n_train = max(1, int(rows.num_rows * part)) if rows.num_rows > 1 else rows.num_rows
+        views = rows.column("views").to_numpy()
+        x = [np.array(v).reshape(-1, dim) for v in rows.column("x").to_pylist()]
+        model, rng = SetCoder(dim, concepts, topk, seed=seed, rank=rank), np.random.default_rng(seed)
+
+        def batches(at: np.ndarray):
+            for n in np.unique(views[at]):
+                mine = at[views[at] == n]
+                for a in range(0, len(mine), batch):
+                    yield np.stack([x[i] for i in mine[a : a + batch]])
+
+        def measured(at: np.ndarray) -> dict[str, float]:
+            got = [(model.losses(b), len(b)) for b in batches(at)]
+            return {k: sum(p[k] * n for p, n in got) / sum(n for _, n in got) for k in got[0][0]} if got else {}
+
+        out = []
+        for epoch in range(1, epochs + 1):
+            for b in batches(rng.permutation(n_train)):
+                model.step(b, rate, b[rng.permutation(len(b))], decay)
+            train, test = measured(np.arange(n_train)), measured(np.arange(n_train, len(x)))
+            out += [(key[0].as_py(), epoch, k, v, test.get(k), n_train, len(x) - n_train) for k, v in train.items()]
+        names = ["bank_id", "epoch", "part", "train_loss", "test_loss", "n_train", "n_test"]
+        types = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return flat.groupBy("bank_id").applyInArrow(run, "bank_id string, epoch int, part string, train_loss double, test_loss double, n_train bigint, n_test bigint")
 
 
 def bank_losses(vectors: DataFrame, dim: int, concepts: int = 64, topk: int = 8, sizes: tuple[int, ...] = (2, 4, 8), batch: int = 256, seed: int = 0) -> DataFrame:

@@ -245,26 +245,17 @@ def inspected_concepts(spark, d):
 
 @query("trained_banks")
 def trained_banks(spark, d):
-    return training.train_banks(_valid(spark, d), DIM, concepts=32, epochs=3, views=2)
+    """The parts of the loss of a model trained for each bank, epoch by epoch, on its training and its test sets."""
+    return training.train_banks(_valid(spark, d), DIM, concepts=32, epochs=3)
 
 
 @query("pooled_tokens", """
-SELECT vec_id, round(list_sum(t[n]), 5) AS last_sum, round(list_sum(list_transform(range(1, 9), lambda i: list_sum(list_transform(list_slice(t, 1, n), lambda x: x[i])) / n)), 5) AS mean_sum
-FROM (SELECT vec_id, greatest(vec_id % 9, 1) AS n, list_transform(range(0, 8), lambda k: list_transform(list_slice(embedding, k * 8 + 1, k * 8 + 8), lambda x: x::DOUBLE)) AS t FROM embeddings) WHERE vec_id % 9 > 0""")
-def pooled_tokens(spark, d):
-    """The two ways to one vector from the states of a text's tokens: the last, or their mean, under a mask."""
-    return _pooled(table(spark, d, "embeddings").filter("vec_id % 9 > 0"))
-
-
-@query("pooled_tokens_all", """
 SELECT vec_id, round(list_sum(t[greatest(n, 1)]), 5) AS last_sum, CASE WHEN n = 0 THEN 0.0 ELSE round(list_sum(list_transform(range(1, 9), lambda i: list_sum(list_transform(list_slice(t, 1, n), lambda x: x[i])) / n)), 5) END AS mean_sum
 FROM (SELECT vec_id, vec_id % 9 AS n, list_transform(range(0, 8), lambda k: list_transform(list_slice(embedding, k * 8 + 1, k * 8 + 8), lambda x: x::DOUBLE)) AS t FROM embeddings)""")
-def pooled_tokens_all(spark, d):
-    """``pooled_tokens`` of every row: an empty mask gives the first state and a zero mean."""
-    return _pooled(table(spark, d, "embeddings"))
-
-
-def _pooled(rows):
+def pooled_tokens(spark, d):
+    """The two ways to one vector from the states of a text's tokens: the last, or their mean, under a mask. An empty
+    mask gives the first state and a zero mean."""
+    rows = table(spark, d, "embeddings")
     states = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(V.doubles(F.col("embedding")), k * 8 + 1, F.lit(8)))
     mask = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (i <= F.col("vec_id") % 9).cast("int"))
     return rows.select("vec_id", F.round(V.total(V.last_position(states, mask)), 5).alias("last_sum"), F.round(V.total(V.masked_mean(states, mask)), 5).alias("mean_sum"))

@@ -110,3 +110,22 @@ def test_stratified_takes_each_row_once(spark):
     got = [r["id"] for r in sampling.stratified(df, "tags", "id", 3).collect()]
     assert len(got) == len(set(got)) and 3 <= len(got) <= 6 and 99 not in got
     assert sampling.stratified(df, "tags", "id", 3, max_total=2).count() == 2
+
+
+def test_numbers_within_groups(spark):
+    rows = [(g, x) for g, n in (("a", 40), ("b", 3), (None, 2)) for x in range(n)]
+    df = spark.createDataFrame(rows, "g string, x int").repartition(3)
+    got = {(r["g"], r["x"]): r["n"] for r in selection.numbered(df, F.desc("x"), name="n", by=("g",)).collect()}
+    assert got == {(g, x): n - 1 - x for g, n in (("a", 40), ("b", 3), (None, 2)) for x in range(n)}
+
+
+def test_shifts_within_groups_of_any_name(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("one", 3)], "g string, x int")
+    got = {r["x"]: r["shuffled_x"] for r in sampling.shifted(df, ["g"], F.col("x").cast("string"), ["x"]).collect()}
+    assert got == {1: 2, 2: 1, 3: 3}
+
+
+def test_a_seeded_sample_of_ids(spark):
+    df = spark.createDataFrame([(f"i{k % 40}",) for k in range(80)] + [(None,)], "id string")
+    a, b = ([r[0] for r in sampling.sampled_ids(d, "id", 7, seed=2).collect()] for d in (df, df.repartition(5)))
+    assert a == b and len(set(a)) == 7

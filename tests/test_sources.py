@@ -111,3 +111,55 @@ def test_stream_of_attempts(spark, tmp_path):
     assert run() == ["a"]
     put("2.json", {"slot": "a", "ok": True, "at": "2025-01-01 00:00:02"}, {"slot": "b", "ok": True, "at": "2025-01-01 00:00:03"})
     assert run() == ["a", "b"]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from loomset import runtime
+
+    def session(master, at=None):
+        kept = {"spark.checkpoint.dir": at}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: kept.get(k) or d, set=kept.__setitem__), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError, match="share"):
+        runtime.shared_dir(session("spark://host:7077"))
+    assert runtime.shared_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert runtime.shared_dir(session("local[4]")).startswith("file://")
+
+
+def test_written_tables_are_removed(spark, monkeypatch):
+    from loomset import runtime
+
+    monkeypatch.setattr(runtime, "_made", set())
+    table, seen = runtime.measured(spark.range(5).toDF("x"), "five", n=F.count(F.lit(1)))
+    path = next(iter(runtime._made))
+    assert seen == {"n": 5} and table.count() == 5 and files._fs(spark, path)[0].exists(files._fs(spark, path)[1](path))
+    runtime.clear(spark)
+    assert not files._fs(spark, path)[0].exists(files._fs(spark, path)[1](path)) and not runtime._made
+
+
+def test_last_deliveries(spark):
+    from loomset.runtime import latest
+
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), ("c", 1, "p"), ("c", 1, "q"), (None, 1, "n"), (None, 2, "m")]
+    got = latest(spark.createDataFrame(rows, "k string, at int, v string"), "k", "at", "v").collect()
+    assert sorted((r["k"] or "", r["v"]) for r in got) == [("", "m"), ("a", "y"), ("b", "z"), ("c", "q")]
+
+
+def test_prompts_runs_codes_and_models(spark, tmp_path):
+    assert [r["prompt"] for r in files.read_prompts(spark).orderBy("ord").collect()] == list(files.PROMPTS)
+    files.put_file(spark, str(tmp_path / "p.json"), b'{"prompts": [{"prompt": "a"}, {"prompt": "b"}]}')
+    assert [tuple(r) for r in files.read_prompts(spark, str(tmp_path / "p.json")).orderBy("ord").collect()] == [(0, "a"), (1, "b")]
+    files.write_csv(spark.createDataFrame([(" x ", 1)], "t string, n int"), str(tmp_path / "run" / "one.csv"))
+    got = files.load_run(spark, "r", str(tmp_path / "run"), ("one", "none"))
+    assert list(got) == ["one"] and tuple(got["one"].first()) == (" x ", "1", "r")
+    codes = spark.createDataFrame([("k", 1, [0.5]), ("l", 1, [1.5])], "key string, set_idx int, z array<double>")
+    files.write_codes(codes, str(tmp_path / "codes"))
+    one = files.read_codes(spark, str(tmp_path / "codes"), "k")
+    assert [r["z"] for r in one.collect()] == [[0.5]] and "PartitionFilters: [isnotnull(key" in one._jdf.queryExecution().executedPlan().toString()
+    import numpy as np
+
+    files.write_model(spark, str(tmp_path / "m"), a=np.eye(2), b=np.arange(3.0))
+    model = files.read_model(spark, str(tmp_path / "m"))
+    assert np.array_equal(model["a"], np.eye(2)) and np.array_equal(model["b"], [[0.0, 1.0, 2.0]])

@@ -111,15 +111,39 @@ def test_losses_and_training(spark):
     m = training.SetCoder(6, 12, 4)
     before = m.losses(x)
     assert set(before) == {*training.LOSS_WEIGHTS, "total"}
-    for _ in range(300):
-        last = m.step(x, 5e-3)
-    assert last < 0.95 * (before["shared_recon"] + 0.05 * before["full_recon"])
+    negative = x[rng.permutation(64)]
+    first = m.losses(x, negative)
+    for _ in range(150):
+        m.step(x, 5e-3, negative)
+    last = m.losses(x, negative)
+    assert last["total"] < 0.8 * first["total"] and last["shared_recon"] + 0.05 * last["full_recon"] < 0.98 * (before["shared_recon"] + 0.05 * before["full_recon"])
     a = np.eye(3)
     assert training.info_nce(a, a) < training.info_nce(a, a[::-1]) and training.margin(a, a, None) == 0.0 and training.margin(a, a, a) == pytest.approx(0.2)
     assert training.decorrelation(np.ones((1, 3))) == 0.0 and training.halves(x[:, :1])[1].shape == (64, 1, 6) and training.halves(x[:, :3])[0].shape == (64, 1, 6)
     rows = [("b", i, j, x[i, j].tolist()) for i in range(64) for j in range(4)]
-    got = training.train_banks(spark.createDataFrame(rows, "bank_id string, set_idx bigint, view_idx bigint, hidden array<double>"), 6, 8, 3, epochs=4, views=3).orderBy("epoch").collect()
-    assert [r["epoch"] for r in got] == [1, 2, 3, 4] and got[-1]["loss"] < got[0]["loss"] and got[0]["n_sets"] == 64
+    rows += [("b", 64, 0, x[0, 0].tolist())]  # a set of another size takes part
+    got = training.train_banks(spark.createDataFrame(rows, "bank_id string, set_idx bigint, view_idx bigint, hidden array<double>"), 6, 8, 3, epochs=4, rate=5e-3).orderBy("epoch").collect()
+    total = [r for r in got if r["part"] == "total"]
+    assert [r["epoch"] for r in total] == [1, 2, 3, 4] and total[-1]["train_loss"] < total[0]["train_loss"] and (total[0]["n_train"], total[0]["n_test"]) == (52, 13)
+    assert {r["part"] for r in got} == {*training.LOSS_WEIGHTS, "total"} and all(r["test_loss"] is not None for r in got)
+
+
+@pytest.mark.parametrize("rank, with_negatives, views", [(None, True, 4), (3, True, 3), (None, False, 1)])
+def test_gradients_against_differences(rank, with_negatives, views):
+    r = np.random.default_rng(5)
+    m, x = training.SetCoder(6, 10, 4, residual_scale=0.3, rank=rank, seed=1), r.normal(size=(7, views, 6))
+    negative = x[r.permutation(7)] if with_negatives else None
+    grads = m.gradients(x, negative)
+    for k, g in grads.items():
+        flat = m.p[k].reshape(-1)
+        for i in r.choice(len(flat), min(6, len(flat)), replace=False):
+            at, h = flat[i], 1e-6
+            flat[i] = at + h
+            up = m.losses(x, negative)["total"]
+            flat[i] = at - h
+            down = m.losses(x, negative)["total"]
+            flat[i] = at
+            assert (up - down) / (2 * h) == pytest.approx(g.reshape(-1)[i], abs=1e-6)
 
 
 def test_losses_of_all_set_sizes(spark):
