@@ -184,6 +184,19 @@ def bridge_checks(spark, d):
     return sums.join(weights, ["source_key", "target_key", "bridge"]).select("source_key", "target_key", "bridge", "n_train", F.abs(F.round(off, 6)).alias("off"))
 
 
+@query("curved_bridges", f"SELECT source_key, target_key, count(CASE WHEN is_train THEN 1 END) AS n_train, count(CASE WHEN NOT is_train THEN 1 END) AS n_test, true AS better FROM {_PAIRS} GROUP BY 1, 2 HAVING count(CASE WHEN is_train THEN 1 END) >= 2")
+def curved_bridges(spark, d):
+    """A curved bridge for each pair of banks: the sets it was fitted on and those it was not, and whether it comes nearer
+    to the targets it was fitted on than nothing does, which it must."""
+    pairs = materialize(transfer.code_pairs(_split_codes(spark, d)).select("source_key", "target_key", "set_idx", "is_train", "x", "y"), "pairs")
+    models = materialize(transfer.fit_curved(pairs, epochs=60).filter("n_train >= 2"), "models")
+    mapped = transfer.map_curved(pairs, models)
+    error = V.mean_of(F.zip_with("mapped", "y", lambda a, b: (a - b) * (a - b)))
+    train = F.col("is_train")
+    got = mapped.groupBy("source_key", "target_key").agg(F.count(F.when(train, 1)).alias("n_train"), F.count(F.when(~train, 1)).alias("n_test"), F.avg(F.when(train, error)).alias("e"), F.avg(F.when(train, V.mean_of(F.transform("y", lambda a: a * a)))).alias("none"))
+    return got.select("source_key", "target_key", "n_train", "n_test", (F.col("e") < F.col("none")).alias("better"))
+
+
 _SCORES = """(abs(sum({a} * {b})) / sqrt(sum({a} * {a}) * sum({b} * {b})))"""
 
 

@@ -155,3 +155,28 @@ def test_losses_of_all_set_sizes(spark):
     assert n == {(2, 2): 11, (2, 1): 1, (4, 4): 10, (4, 3): 1, (4, 1): 1, (8, 8): 10, (8, 3): 1, (8, 1): 1}
     want = training.SetCoder(6, 12, 4).losses(x[:10])
     assert {r["part"]: r["loss"] for r in got if r["n_views"] == 8} == pytest.approx(want)
+
+
+def test_curved_bridge(spark):
+    from loomset.operators import transfer
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(40, 3))
+    y = np.stack((np.abs(x[:, 0]), x[:, 1] * x[:, 2]), axis=1)
+    m = transfer.CurvedBridge(3, 2, 16)
+    for k, g in m.gradients(x, y).items():
+        flat, at = m.p[k].reshape(-1), 0
+        old, h = flat[at], 1e-4
+        flat[at] = old + h
+        up = ((m(x) - y) ** 2).mean()
+        flat[at] = old - h
+        down = ((m(x) - y) ** 2).mean()
+        flat[at] = old
+        assert (up - down) / (2 * h) == pytest.approx(g.reshape(-1)[at], abs=1e-4)
+    rows = [("a", "b", i, i % 5 > 0, x[i].tolist(), y[i].tolist()) for i in range(40)]
+    pairs = spark.createDataFrame(rows, "source_key string, target_key string, set_idx int, is_train boolean, x array<double>, y array<double>")
+    models = transfer.fit_curved(pairs, epochs=800)
+    got = transfer.map_curved(pairs, models).collect()
+    line = np.linalg.lstsq(np.c_[x, np.ones(40)], y, rcond=None)[0]
+    error = np.mean([(np.array(r["mapped"]) - r["y"]) ** 2 for r in got if r["is_train"]])
+    assert len(got) == 40 and error < 0.7 * ((np.c_[x, np.ones(40)] @ line - y) ** 2).mean()
