@@ -117,7 +117,7 @@ def _bucket(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) & (SIZE - 1)
 
 
-def features(text: str, limits: np.ndarray | None = None) -> list[tuple[int, float]]:
+def features(text: str, limits: dict[tuple[int, int], float] | None = None) -> list[tuple[int, float]]:
     """Hashed features of one text."""
     base, marked = stripped(text)
     tail = base[-400:]
@@ -141,21 +141,29 @@ def features(text: str, limits: np.ndarray | None = None) -> list[tuple[int, flo
     found = [(_bucket(n), 1.0) for n in names]
     if limits is not None:
         for which, n in enumerate((len(text), len(text.encode("utf-8", "replace")))):
-            if n < limits.shape[1] and limits[which, n]:
-                found.append((_bucket(f"limit{which},{state}"), float(limits[which, n])))
+            if (crowd := limits.get((which, n))) is not None:
+                found.append((_bucket(f"limit{which},{state}"), crowd))
     return found
 
 
+def _crowded(limits: np.ndarray | None) -> dict[tuple[int, int], float] | None:
+    """The lengths that stand out at all: few, so a model stays small."""
+    if limits is None:
+        return None
+    which, n = np.nonzero(limits)
+    return {(int(w), int(k)): float(limits[w, k]) for w, k in zip(which, n)}
+
+
 class Model:
     """Logistic regression over hashed features, and how far each length stands out among unfinished texts."""
 
     def __init__(self, weights: np.ndarray, limits: np.ndarray | None):
-        self.weights, self.limits = weights, limits
+        self.weights, self.limits = weights, _crowded(limits)
 
     @classmethod
     def fit(cls, texts: list[str], limits: np.ndarray | None = None, seed: int = 0, rounds: int = 60) -> Model:
         """``texts``: a sample of whatever there is. What is intact among it is left whole and cut."""
-        rng = np.random.default_rng(seed)
+        rng, crowded = np.random.default_rng(seed), _crowded(limits)
         rows, labels = [], []
         for t in sorted(texts):
             base, marked = stripped(t)
@@ -163,7 +171,7 @@ class Model:
             top = headline(words, base)
             if marked or len(words) < 4 or not (top or (END.search(base) and not goes_on(base))):
                 continue
-            rows.append(features(t, limits))
+            rows.append(features(t, crowded))
             labels.append(0.0)
             if top:
                 continue
@@ -176,7 +184,7 @@ class Model:
                 if headline(WORD.findall(clean), clean):
                     continue  # nobody could tell
                 part = part + str(rng.choice(["", "", "", "...", "…", " [...]", ",", "�"]))
-                rows.append(features(part, limits))
+                rows.append(features(part, crowded))
                 labels.append(1.0)
         weights = np.zeros(SIZE)
         # without anything to learn from, what the state of the end says by itself
