@@ -124,7 +124,7 @@ def features(text: str, limits: dict[tuple[int, int], float] | None = None) -> l
     ended = END.search(tail) is not None
     on = goes_on(base)
     words = WORD.findall(tail if ended or len(base) <= 400 else base)
-    top = not ended and headline(words, base) and not text[-1:].isspace()  # a blank waits for another word
+    top = not ended and headline(words, base)  # white space after it says nothing: whole texts have it as often
     state = "headline" if top and not marked else f"on-{on}" if on else "ended" if ended else "stopped"
     last = words[-1].lower() if words else ""
     before = words[-2].lower() if len(words) > 1 else ""

@@ -168,3 +168,9 @@ def test_many_copies_do_not_fill_the_sample(spark):
 def test_share_that_is_copied_in_order(spark, model):
     df = spark.createDataFrame([("set", "k", 1, PROMPT, PROMPT), ("set", "k", 2, PROMPT, "Lum sold it.")], "kind string, rec_key string, view_idx int, prompt string, answer string")
     assert [tuple(r) for r in pairs.judged(df, model).collect()] == [("set", "k", 1, "copy", 1.0)]
+
+
+@pytest.mark.parametrize("after", [" ", "\n", " \n\n", "\t"])
+def test_blanks_after_a_headline_do_not_make_it_cut(model, after):
+    assert not model.is_cut("Bad Works Sold Joint Tariff in Lum" + after)
+    assert model.is_cut("Bad Works Sold Joint Tariff in" + after) and model.is_cut("The engine was sold by" + after)
