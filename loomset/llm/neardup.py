@@ -90,19 +90,22 @@ def _posting_rows(counts: dict, t: Fraction, frequent: int, hot: tuple[np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cid, flat, sizes, owner, key in setsim.keyed_sets(batches, counts, t, frequent):
-            blk = np.full(len(key), -1, dtype=np.int32)
+            maps = setsim.bitmaps(flat, sizes).view(np.int64)
+            many = np.ones(len(key), dtype=np.int64)
             if len(hot_key):
                 at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
                 many = np.where(hot_key[at] == key, -(-hot_n[at] // BLOCK), 1)
-                row, other = setsim.expand(many)
-                owner, key, many = owner[row], key[row], many[row]
-                mine = (setsim.mix(cid[owner], np.full(len(owner), 5)) % many.astype(np.uint64)).astype(np.int64)
-                pair = setsim.mix(setsim.mix(key, np.minimum(mine, other)), np.maximum(mine, other))
-                blk = np.where((many == 1) | (mine == other), -1, mine).astype(np.int32)
-                key = np.where(many == 1, key, pair)
-            maps = setsim.bitmaps(flat, sizes).view(np.int64)
-            columns = [key.view(np.int64), cid[owner], sizes[owner].astype(np.int32), blk, *(maps[owner, c] for c in range(4))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["key", "cid", "n", "blk", "b0", "b1", "b2", "b3"])
+            total, a = np.cumsum(many), 0
+            while a < len(key):  # a row under a very hot key becomes many
+                z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS_AT_ONCE, side="right")))
+                row, other = setsim.expand(many[a:z])
+                of, k, n = owner[a:z][row], key[a:z][row], many[a:z][row]
+                mine = (setsim.mix(cid[of], np.full(len(of), 5)) % n.astype(np.uint64)).astype(np.int64)
+                pair = setsim.mix(setsim.mix(k, np.minimum(mine, other)), np.maximum(mine, other))
+                blk = np.where((n == 1) | (mine == other), -1, mine).astype(np.int32)
+                columns = [np.where(n == 1, k, pair).view(np.int64), cid[of], sizes[of].astype(np.int32), blk, *(maps[of, c] for c in range(4))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["key", "cid", "n", "blk", "b0", "b1", "b2", "b3"])
+                a = z
 
     return run
 
