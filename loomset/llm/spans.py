@@ -19,7 +19,7 @@ a document is shared follows from the classes alone, without pairs of documents.
 
 Defined results: null, empty and short texts (under ``min_chars``) share nothing; a stretch repeated inside one
 document is no pair; copies are pairs; text counts verbatim, case, blanks and line ends included; further
-columns are never read; empty tables give no rows.
+columns are never read; an id with several texts stands for all of them; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -140,15 +140,21 @@ def _locate(min_chars: int, k: int):
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         h, home, pos, n = (phrases.column(c).to_pylist() for c in ("h", "doc", "pos", "n"))
         skip = {d for x, d in zip(h, home) if x is None}
-        texts = {d: t for d, t in zip(docs.column("doc").to_pylist(), docs.column("text").to_pylist()) if d not in skip}
+        texts: dict[int, list[str]] = defaultdict(list)
+        for d, t in zip(docs.column("doc").to_pylist(), docs.column("text").to_pylist()):
+            if d not in skip and t not in texts[d]:
+                texts[d].append(t)
         automaton = ahocorasick.Automaton()
         for x, d, at, many in zip(h, home, pos, n):
             if x is not None:
-                automaton.add_word(texts[d][at : at + k], (x, many > HOT_PHRASE))
+                named = [t[at : at + k] for t in texts[d] if len(t) >= at + k]
+                if len(named) > 1:  # an id with several texts: the one that has the phrase there
+                    named = [t for t in named if phrase_hashes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), k).view(np.int64)[0] == x]
+                automaton.add_word(named[0], (x, many > HOT_PHRASE))
         found: dict[tuple[int, int, str], list[tuple[int, int]]] = defaultdict(list)
         if len(automaton):
             automaton.make_automaton()
-            for doc, text in texts.items():
+            for doc, text in ((d, t) for d, ts in texts.items() for t in ts):
                 for end, (x, hot) in automaton.iter(text):
                     at = end - k + 1
                     a = max(0, at - reach)

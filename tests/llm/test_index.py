@@ -232,3 +232,15 @@ def test_many_contexts_are_compared_in_blocks(spark, monkeypatch):
     want = {r["doc_id"]: r["n_shared"] for r in spans.coverage(df, min_chars=40, phrase_chars=12).collect()}
     monkeypatch.setattr(spans, "GROUP", 20_000)
     assert want == {r["doc_id"]: r["n_shared"] for r in spans.coverage(df, min_chars=40, phrase_chars=12).collect()}
+
+
+def test_an_id_with_several_texts(spark):
+    base = make_docs(1)
+    docs = base + [(base[5][0], "z" * 7 + base[9][1]), (base[5][0], base[5][1])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    want = set()
+    win = {}
+    for d, t in docs:
+        win.setdefault(d, set()).update(t[i : i + 40] for i in range(len(t or "") - 39))
+    want = {(a, b) for a in win for b in win if a < b and win[a] & win[b]}
+    assert {tuple(r) for r in spans.shared_pairs(df, min_chars=40, phrase_chars=12).collect()} == want
