@@ -31,7 +31,7 @@ COPY = 0.8
 COPIED_RUN = 3
 WORD = re.compile(r"[^\W_]+").findall
 LATIN = re.compile("[A-Za-z]")
-LAST_WORD = re.compile(r"(?<=\s)\w+$")  # without a mark after it, it may be cut and look like any word
+BEYOND = re.compile(r"[^\W\d_\x00-\u024f]")  # letters beyond those of Latin script
 
 #: What stands, without other characters, where there is no answer.
 NO_ANSWER = frozenset("na none null nil nan empty blank nooutput notext noanswer noresponse noreply noresult noresults nocontent notavailable notapplicable unavailable undefined missing tbd noanswergiven noanswerprovided nooutputgenerated nothing void ".split())
@@ -66,13 +66,19 @@ TONGUES = tuple(WORDS_OF)
 _votes = {w: (tuple(i for i, k in enumerate(TONGUES) if w in WORDS_OF[k])) for w in set().union(*WORDS_OF.values())}
 
 
-def is_empty(answer: str | None) -> bool:
-    found = WORD((answer or "").lower())
+def unlabelled(answer: str) -> str:
+    """The answer without a label before it."""
+    label = LABEL.match(answer)
+    return answer[label.end() :] if label else answer
+
+
+def is_empty(answer: str | None, words: list[str] | None = None) -> bool:
+    found = WORD((answer or "").lower()) if words is None else words
     return not found or (len(found) <= 4 and "".join(found) in NO_ANSWER)
 
 
 def is_refusal(answer: str) -> bool:
-    s = LABEL.sub("", answer.replace("’", "'").replace("‘", "'")).lstrip(" \t\r\n\"'*_>-")
+    s = unlabelled(answer.replace("’", "'").replace("‘", "'")).lstrip(" \t\r\n\"'*_>-")
     return REFUSAL.match(" ".join(s.split())) is not None
 
 
@@ -111,11 +117,17 @@ def tiles(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     return found
 
 
-def similarity(prompt: str | None, answer: str) -> tuple[float, float]:
+@lru_cache(1 << 10)
+def _words(prompt: str) -> tuple[list[str], frozenset[str]]:
+    found = WORD(prompt.lower())
+    return found, frozenset(found)
+
+
+def similarity(prompt: str | None, answer: str, words: list[str] | None = None) -> tuple[float, float]:
     """Word similarity, and the share of the answer's words that stand in tiles of at least COPIED_RUN words. Where
     counts of distinct words leave room for a copy, the words in the tiles are the words in common."""
-    a, b = WORD((prompt or "").lower()), WORD(answer.lower())
-    x, y = set(a), set(b)
+    (a, x), b = _words(prompt or ""), WORD(answer.lower()) if words is None else words
+    y = set(b)
     if not x or not y:
         return 0.0, 0.0
     both = len(x & y)
@@ -134,7 +146,7 @@ def _script_of(c: str) -> str:
 
 def script(text: str) -> str | None:
     """The script most letters are of, by the first word of their Unicode names."""
-    if text.isascii():
+    if text.isascii() or not BEYOND.search(text):
         return "LATIN" if LATIN.search(text) else None
     counts: dict[str, int] = {}
     for c in text:
@@ -144,42 +156,51 @@ def script(text: str) -> str | None:
     return max(counts, key=lambda k: (counts[k], k)) if counts else None
 
 
-@lru_cache(1 << 10)
-def languages(text: str) -> tuple[str | None, dict[str, float]]:
-    """The script, and the function words of each language; those of several count half."""
-    votes = [0.0] * len(TONGUES)
+def votes(words: list[str]) -> list[float]:
+    """The function words of each language; those of several count half."""
+    got = [0.0] * len(TONGUES)
     get = _votes.get
-    for w in WORD(text.lower()):
+    for w in words:
         if of := get(w):
             for i in of:
-                votes[i] += 1.0 if len(of) == 1 else 0.5
-    return script(text), dict(zip(TONGUES, votes))
+                got[i] += 1.0 if len(of) == 1 else 0.5
+    return got
+
+
+@lru_cache(1 << 10)
+def _home(prompt: str) -> tuple[str | None, int | None]:
+    """The script and the language of a prompt; of languages that are even, English, else the first."""
+    found = votes(WORD(prompt.lower()))
+    return script(prompt), max(range(len(TONGUES)), key=lambda i: (found[i], i == 0)) if any(found) else None
 
 
-def other_language(prompt: str | None, answer: str) -> bool:
-    answer = LABEL.sub("", answer)
+def other_language(prompt: str | None, answer: str, words: list[str] | None = None) -> bool:
     if not prompt or not prompt.strip():
         return False
-    (one, p), (other, q) = languages(prompt), languages(LAST_WORD.sub("", answer.rstrip()))
+    own = unlabelled(answer)
+    one, home = _home(prompt)
+    other = script(own)
     if one and other and one != other:
         return True
-    if not any(p.values()) or not any(q.values()):
+    if home is None:
         return False
-    home = max(p, key=lambda k: (p[k], k == "en"))
-    best = max(q.values())
+    found = WORD(own.lower()) if words is None or len(own) < len(answer) else words
+    q = votes(found[:-1] if len(found) > 1 and own.rstrip()[-1:].isalnum() else found)  # a last word without a mark after it may be cut
+    best = max(q)
     return q[home] < best and best >= 1 and best - q[home] >= 0.5 * (1 + q[home])
 
 
 def judge(prompt: str | None, answer: str | None, model: Model) -> tuple[str | None, float]:
     """The defect of a pair and, for copies, the share of the answer that is copied in order."""
-    if is_empty(answer):
+    words = WORD((answer or "").lower())
+    if is_empty(answer, words):
         return "empty", 0.0
     if is_refusal(answer):
         return "refusal", 0.0
-    alike, in_order = similarity(prompt, answer)
+    alike, in_order = similarity(prompt, answer, words)
     if alike >= COPY:
         return "copy", in_order
-    if other_language(prompt, answer):
+    if other_language(prompt, answer, words):
         return "other_language", 0.0
     return ("truncated" if model.is_cut(answer) else None), 0.0
 
