@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +36,13 @@ def clear(spark: SparkSession | None = None) -> None:
     """Remove the tables this process has written to the shared folder. Runs by itself when it ends; call it
     earlier only when no result that reads them is needed any more."""
     spark = spark or SparkSession.getActiveSession()
-    if spark is None or spark.sparkContext._jsc is None:
+    jvm = SparkContext._jvm
+    if not _made or jvm is None:
         return
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    alive = spark is not None and spark.sparkContext._jsc is not None
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration() if alive else jvm.org.apache.hadoop.conf.Configuration()
     for path in sorted(_made):
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(hadoop).delete(at, True)
     _made.clear()
 
