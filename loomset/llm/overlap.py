@@ -138,37 +138,35 @@ class Shard:
         length = np.repeat(np.arange(1, self.run + 1), [len(x) for x in picked])
         low, high = lo[length - 1, where], hi[length - 1, where]
         order = np.argsort(where, kind="stable")
-        where, length, low, high = where[order], length[order], low[order], high[order]
-        at = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+        where, low, high = where[order], low[order], high[order]
         total = np.cumsum(high - low)
         ends = np.append(np.flatnonzero(of[where][1:] != of[where][:-1]) + 1, len(where))  # sets stay whole
         a = 0
         while a < len(where):
             room = np.searchsorted(total, (total[a - 1] if a else 0) + ROWS_AT_ONCE, side="right")
             z = ends[max(np.searchsorted(ends, room, side="right") - 1, np.searchsorted(ends, a, side="right"))]
-            parts = [self._matches(a, z, where, length, low, high, of, at, sizes, maps)] if total[z - 1] - (total[a - 1] if a else 0) <= 8 * ROWS_AT_ONCE else self._one_by_one(a, z, where, length, low, high, of, at, sizes, maps)
-            for got in parts:
-                x, y, spans = got
+            parts = [self._matches(a, z, where, low, high, of, sizes, maps)] if total[z - 1] - (total[a - 1] if a else 0) <= 8 * ROWS_AT_ONCE else self._one_by_one(a, z, where, low, high, of, sizes, maps)
+            for x, y in parts:
                 for b in range(0, len(x), 50_000):
-                    u, v, n = x[b : b + 50_000], y[b : b + 50_000], spans[b : b + 50_000]
-                    both = self._common(symbol, sizes, u, v)
+                    u, v = x[b : b + 50_000], y[b : b + 50_000]
+                    n, both = self._common(symbol, sizes, u, v)
                     p, q = self.t.numerator, self.t.denominator
                     ok = both * (p + q) >= (sizes[u] + self.sizes[v]) * p
                     yield u[ok], self.ids[v[ok]], n[ok], both[ok]
             a = z
 
-    def _one_by_one(self, a: int, z: int, where, length, low, high, *rest) -> Iterator[tuple[np.ndarray, ...]]:
-        """A set whose runs occur very often, a block of occurrences at a time; spans are those within blocks."""
+    def _one_by_one(self, a: int, z: int, where, low, high, *rest) -> Iterator[tuple[np.ndarray, ...]]:
+        """A set whose runs occur very often, a block of occurrences at a time."""
         seen = np.zeros(len(self.sizes), dtype=bool)
         for i in range(a, z):
             for b in range(low[i], high[i], ROWS_AT_ONCE):
-                x, y, n = self._matches(0, 1, where[i : i + 1], length[i : i + 1], np.array([b]), np.array([min(high[i], b + ROWS_AT_ONCE)]), *rest)
+                x, y = self._matches(0, 1, where[i : i + 1], np.array([b]), np.array([min(high[i], b + ROWS_AT_ONCE)]), *rest)
                 new = ~seen[y]
                 seen[y] = True
-                yield x[new], y[new], n[new]
+                yield x[new], y[new]
 
-    def _matches(self, a: int, z: int, where, length, low, high, of, at, sizes, maps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of sets that may be similar and share a run, with the number of their maximal matches."""
+    def _matches(self, a: int, z: int, where, low, high, of, sizes, maps) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of sets that may be similar and share a run."""
         rows, i = ranges(low[a:z], high[a:z])
         i = i + a
         there = self.index.locate(rows)
@@ -177,34 +175,31 @@ class Shard:
         n, m = sizes[x], self.sizes[y]
         p, q = self.t.numerator, self.t.denominator
         ok = (m * q >= n * p) & (n * q >= m * p)
-        i, there, x, y = i[ok], there[ok], x[ok], y[ok]
+        x, y = x[ok], y[ok]
         ok = setsim.may_reach(sizes[x], self.sizes[y], maps[x], self.maps[y], self.t)
-        i, there, x, y = i[ok], there[ok], x[ok], y[ok]
-        here, there, rare = at[where[i]], there - self.begin[y], self.sizes[y] - self.hot[y]
-        there = np.where(there < rare, there, rare + (there - rare) % np.maximum(self.hot[y], 1))
-        # runs that follow each other, or overlap, on a diagonal are one maximal match
-        diagonal = here - there
-        order = np.lexsort((here, diagonal, y, x))
-        x, y, here, diagonal, long = x[order], y[order], here[order], diagonal[order], length[i[order]]
-        pair = np.ones(len(x), dtype=bool)
-        pair[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        match = pair.copy()
-        match[1:] |= (diagonal[1:] != diagonal[:-1]) | (here[1:] > here[:-1] + long[:-1])
-        first = np.flatnonzero(pair)
-        spans = np.add.reduceat(match.astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64)
-        return x[first], y[first], spans
-
-    def _common(self, symbol: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """How many words the sets of each pair share, exactly."""
+        x, y = x[ok], y[ok]
+        pair = np.unique(x.astype(np.int64) * len(self.sizes) + y)
+        return pair // len(self.sizes), pair % len(self.sizes)
+
+    def _common(self, symbol: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each pair of sets the maximal matches of their sequences and the words in them, which are the words they
+        share, exactly."""
         start = np.cumsum(sizes) - sizes
         e, k = setsim.expand(sizes[x])
         one = symbol[start[x][e] + k]
-        f, k = setsim.expand(self.sizes[y])
-        other = self.symbol[self.start[y][f] + k]
+        e, k, one = e[one > 0], k[one > 0], one[one > 0]
+        f, j = setsim.expand(self.sizes[y])
         width = len(self.vocabulary) + 1
-        both = np.concatenate(((e * width + one)[one > 0], f * width + other))  # symbols are distinct within a set
-        both.sort()
-        return np.bincount(both[1:][both[1:] == both[:-1]] // width, minlength=len(x))
+        words = np.concatenate((e * width + one, f * width + self.symbol[self.start[y][f] + j]))  # distinct within a set
+        order = np.argsort(words, kind="stable")
+        hit = np.flatnonzero(words[order][1:] == words[order][:-1])
+        here, there = order[hit], order[hit + 1] - len(e)
+        pair, here, there = e[here], k[here], j[there]
+        order = np.lexsort((here, pair))
+        pair, here, there = pair[order], here[order], there[order]
+        new = np.ones(len(pair), dtype=np.int64)
+        new[1:] = (pair[1:] != pair[:-1]) | (here[1:] != here[:-1] + 1) | (there[1:] != there[:-1] + 1)
+        return np.bincount(pair, new, minlength=len(x)).astype(np.int64), np.bincount(pair, minlength=len(x))
 
 
 def _build(t: Fraction):
@@ -242,8 +237,7 @@ def _stream_rows(index):
 
 def matches(rows: DataFrame, t: Fraction, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``t_cid, t_second, e_cid, e_second, n_spans, n_words`` of ``side, cid, second, hashes``: each pair of a
-    training and an evaluation text that are similar, each once, with its maximal matches (of the runs looked
-    for) and the words in common. One pass over the training texts for each shard of evaluation texts."""
+    training and an evaluation text that are similar, each once, with its maximal matches and the words in common. One pass over the training texts for each shard of evaluation texts."""
     spark = rows.sparkSession
     texts = rows.filter("side = 'e'").groupBy("cid", "second").agg(F.first("hashes").alias("hashes"))
     texts = materialize(texts.select("cid", "second", "hashes", F.size("hashes").alias("n")), "evaluation")
@@ -311,8 +305,8 @@ def cross_split(records: DataFrame, threshold: float = 0.7, shard_words: int = S
 
 def overlapping(records: DataFrame, threshold: float = 0.7, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``key, n_spans, n_words``, a row for each evaluation record with a similar training text: its maximal
-    matches and words in common with the training text it has most in common with. No pairs of records are made."""
+    matches and words in common with the training text it has most in common with, in the fewest matches. No pairs of records are made."""
     rows = split_texts(records)
     pairs = matches(rows, Fraction(str(threshold)), shard_words)
-    best = pairs.groupBy("e_cid", "e_second").agg(F.max(F.struct("n_words", "n_spans")).alias("p")).select(F.col("e_cid").alias("cid"), F.col("e_second").alias("second"), "p.n_spans", "p.n_words")
-    return rows.filter("side = 'e'").select("key", "cid", "second").join(best, ["cid", "second"]).groupBy("key").agg(F.max(F.struct("n_words", "n_spans")).alias("p")).select("key", "p.n_spans", "p.n_words")
+    best = pairs.groupBy("e_cid", "e_second").agg(F.max(F.struct("n_words", (-F.col("n_spans")).alias("far"))).alias("p")).select(F.col("e_cid").alias("cid"), F.col("e_second").alias("second"), (-F.col("p.far")).alias("n_spans"), "p.n_words")
+    return rows.filter("side = 'e'").select("key", "cid", "second").join(best, ["cid", "second"]).groupBy("key").agg(F.max(F.struct("n_words", (-F.col("n_spans")).alias("far"))).alias("p")).select("key", (-F.col("p.far")).alias("n_spans"), "p.n_words")
